@@ -88,8 +88,8 @@ ORDER_ROW = "tree int, s binary, rid long, n int, sketch binary"
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, width), np.uint8)
+    if not width or not len(column):
+        return np.zeros((len(column), width), np.uint8)
     raw = np.frombuffer(column.buffers()[2], np.uint8)
     first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
     return raw[first : first + width * len(column)].reshape(-1, width)
