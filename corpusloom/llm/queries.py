@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_benchmark_alignment
+from .forest import op7_lsh_forest
 from .licences import op8_licence_automaton
 from .lines import OP3_SQL, op3_line_windows
+from .paragraphs import op9_paragraph_bands
 from .pieces import op10_sentencepiece
+from .toxicity import op4_factorization_machine
 from .warc import op2_warc_transactions
 
 QUERIES = {
+    "op1_benchmark_alignment": op1_benchmark_alignment,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_line_windows": op3_line_windows,
+    "op4_factorization_machine": op4_factorization_machine,
+    "op7_lsh_forest": op7_lsh_forest,
     "op8_licence_automaton": op8_licence_automaton,
+    "op9_paragraph_bands": op9_paragraph_bands,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
