@@ -7,7 +7,9 @@ from .forest import op7_lsh_forest
 from .licences import op8_licence_automaton
 from .lines import OP3_SQL, op3_line_windows
 from .paragraphs import op9_paragraph_bands
+from .perplexity import op5_kneser_ney
 from .pieces import op10_sentencepiece
+from .substrings import op6_suffix_groups
 from .toxicity import op4_factorization_machine
 from .warc import op2_warc_transactions
 
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_line_windows": op3_line_windows,
     "op4_factorization_machine": op4_factorization_machine,
+    "op5_kneser_ney": op5_kneser_ney,
+    "op6_suffix_groups": op6_suffix_groups,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_licence_automaton": op8_licence_automaton,
     "op9_paragraph_bands": op9_paragraph_bands,
