@@ -30,6 +30,8 @@ BUCKETS = 1 << 18
 SAMPLE = 20_000
 FEATURES, FACTORS, EPOCHS, BATCH = 2048, 8, 12, 64
 RATE, DECAY = 0.1, 2e-4
+#: Least updates, however few the rows.
+UPDATES = 2000
 #: Least training rows a term occurs in.
 LEAST_ROWS = 5
 #: Least chi-square (one degree of freedom) of a feature: one of 10,000 useless terms reaches it.
@@ -97,7 +99,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 1) ->
     m = int(slots.max()) + 1
     w, v, bias = np.zeros(m), rng.normal(0, 0.05, (m, FACTORS)), base
     gw, gv, gb = np.full(m, 1e-2), np.full((m, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // total))):
         order = rng.permutation(total)
         for k in range(0, total, BATCH):
             rows = order[k : k + BATCH]
