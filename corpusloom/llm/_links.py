@@ -207,14 +207,14 @@ def _verifier(reach: Callable[[np.ndarray, np.ndarray], bool]) -> Callable:
     return run
 
 
-def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable, links: DataFrame | None = None) -> DataFrame:
+def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
     """Links (a, b) among candidate pairs whose ends are in different components, verified on ``bodies``.
 
     Of the pairs left, each round verifies the most similar ones of each row, twice as many as the round
     before, and drops those that links found so far join; so every pair is either verified or joined.
     """
     left, most = pairs, 1
-    found = links
+    found = None
     while True:
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))
         left = written(left.withColumn("rank", rank), "left")
@@ -230,12 +230,7 @@ def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable, links: DataFram
         if rest.isEmpty():
             return found
         comp = components(found)
-        left = (
-            rest.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
-            .join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            .where("coalesce(ca, a) <> coalesce(cb, b)")
-            .select("a", "b", "same")
-        )
+        left = _apart(rest, comp)
         most *= 2
 
 
@@ -244,3 +239,36 @@ def contracted(dense: DataFrame, comp: DataFrame, prefix: int) -> DataFrame:
     rows = dense.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     run = F.substring("s", 1, prefix).alias("run")
     return rows.groupBy("tree", run, "comp").agg(F.min_by(F.struct("s", "rid", "n", "sketch"), F.struct("s", "rid")).alias("x")).select("tree", "x.s", "x.rid", "x.n", "x.sketch")
+
+
+def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of all candidates of the sorted orders.
+
+    ``bodies`` gives the (rid, body) of wanted identities. Crowded runs are contracted by component and
+    sorted again as long as a pass finds links.
+    """
+    pairs, dense = candidates(orders, **shape)
+    pairs, dense = written(pairs, "pairs"), written(dense, "crowded")
+    own = bodies(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct())
+    links = written(linked(pairs, own, reach), "links")
+    comp, tried = components(links), pairs.select("a", "b")
+    while not dense.isEmpty():
+        again, dense = candidates(contracted(dense, comp, shape["prefix"]), **shape)
+        again = written(_apart(again.join(tried, ["a", "b"], "left_anti"), comp), "pairs")
+        more = written(linked(again, own, reach), "links")
+        if more.isEmpty():
+            break
+        dense, tried = written(dense, "crowded"), tried.unionByName(again.select("a", "b"))
+        links = written(links.unionByName(more), "links")
+        comp = components(links)
+    return links, comp
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose ends aren't in one component."""
+    return (
+        pairs.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
+        .join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        .where("coalesce(ca, a) <> coalesce(cb, b)")
+        .select("a", "b", "same")
+    )

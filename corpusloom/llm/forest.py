@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, candidates, components, contracted, linked
+from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, settled
 from ._spark import small_batches, table, written
 
 TREES, DEPTH, LEAST_DEPTH, WINDOW = 16, 6, 3, 10
@@ -100,7 +100,7 @@ def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, n (set size), rid (identity of the set), sig (all orders' values) and sketch."""
+    """doc, tkey (hash of the text), n (set size), rid (identity of the set), sig (all orders' values) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,11 +109,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 sig = minhashes(flat, cut, _MULTIPLY, _ADD)
                 lanes = (sig & np.uint64(0xFFFF)).astype(">u2")
                 sketch = ((sig.reshape(-1, TREES, DEPTH)[:, :, :2] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).reshape(-1, 2 * TREES)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(cut).astype(np.int32)), pa.array(set_ids(flat, cut)), binary(lanes.view(np.uint8).reshape(j - i, -1)), binary(sketch)], ["doc", "n", "rid", "sig", "sketch"]
-                )
+                cols = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(cut).astype(np.int32)), pa.array(set_ids(flat, cut)), binary(lanes.view(np.uint8).reshape(j - i, -1)), binary(sketch)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "tkey", "n", "rid", "sig", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n int, rid long, sig binary, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text, F.xxhash64(text).alias("tkey")).mapInArrow(run, "doc long, tkey long, n int, rid long, sig binary, sketch binary")
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,49 +156,27 @@ def bodies_of(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, n_shingles, component (least id of the group) and links (verified links of the row's set)."""
+    """doc, tkey (hash of the text), n_shingles, component (least id of the group), group (its identity) and links.
+
+    ``links`` are the verified links of the row's set.
+    """
     small_batches(docs.sparkSession)
     sigs = written(signatures(docs, id_col, text), "signatures")
     reps = written(sigs.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")), "sets")
     orders = reps.select("rid", "n", "sig", "sketch").mapInArrow(_orders, ORDER_ROW)
     shape = {"prefix": 2 * LEAST_DEPTH, "s_bytes": 2 * DEPTH, "sketch_bytes": 2 * TREES, "least_same": LEAST_SAME, "window": WINDOW, "ratio": PERCENT / 100}
-    pairs, dense = candidates(orders, **shape)
-    pairs, dense = written(pairs, "pairs"), written(dense, "crowded")
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct()
-    bodies = bodies_of(docs, sigs, wanted, id_col, text)
-    links = written(linked(pairs, bodies, reaches), "links")
-    crowded = not dense.isEmpty()
-    comp = components(links)
-    tried = pairs.select("a", "b")
-    while crowded:
-        again, dense = candidates(contracted(dense, comp, 2 * LEAST_DEPTH), **shape)
-        again, dense = written(again.join(tried, ["a", "b"], "left_anti"), "pairs"), written(dense, "crowded")
-        if again.isEmpty():
-            break
-        tried = tried.unionByName(again.select("a", "b"))
-        more = linked(_apart(again, comp), bodies, reaches)
-        links = written(links.unionByName(more), "links")
-        comp, crowded = components(links), not dense.isEmpty()
+    links, comp = settled(orders, lambda wanted: bodies_of(docs, sigs, wanted, id_col, text), reaches, shape)
     return _result(sigs, reps, comp, links)
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    return (
-        pairs.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
-        .join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        .where("coalesce(ca, a) <> coalesce(cb, b)")
-        .select("a", "b", "same")
-    )
-
-
 def _result(sigs: DataFrame, reps: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
     grouped = reps.select("rid", "doc", "copies").join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).where("copies > 1 OR comp IS NOT NULL")
     grouped = grouped.join(comp.select(F.col("id").alias("rid"), F.lit(True).alias("linked")), "rid", "left").where("copies > 1 OR linked")
     least = grouped.groupBy("comp").agg(F.min("doc").alias("component")).join(grouped.select("comp", "rid"), "comp").join(ends, "rid", "left")
-    least = least.select("rid", "component", F.coalesce("links", F.lit(0)).alias("links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
-    rows = sigs.select("doc", "n", "rid", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(least, ["rid", "salt"], "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("hit"), F.col("component")).otherwise(F.col("doc")).alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = least.select("rid", "comp", "component", F.coalesce("links", F.lit(0)).alias("links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
+    rows = sigs.select("doc", "tkey", "n", "rid", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(least, ["rid", "salt"], "left").select("doc", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("hit"), F.col("component")).otherwise(F.col("doc")).alias("component"), F.coalesce("comp", "rid").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def op7_lsh_forest(spark, sf_dir: str) -> DataFrame:

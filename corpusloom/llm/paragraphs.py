@@ -4,9 +4,10 @@ Paragraphs are the runs of a text between newlines; those of at least ``MIN_WORD
 white space, A-Z lowered) take part. A paragraph's set holds its distinct ``SHINGLE``-word shingles. Equal
 sets are collapsed; ``BANDS`` bands of ``ROWS`` MinHash values give each distinct set a key per band, and
 sets that collide in a band are candidates: at the threshold a pair shares no band with probability
-(1 - 0.75^3)^12 = 0.0014. A collision is met in sorted order of the band, and bands longer than the window
-are contracted by component and met again. Exact Jaccard on the full sets confirms each link, components of
-links are the classes, and all of a class but its first paragraph by (document id, number) are removals.
+(1 - 0.75^3)^12 = 0.0014. Colliding sets are sorted by values of other bands and meet their next ``WINDOW``
+neighbours; keys with more sets are contracted by component and met again while that finds links. Exact
+Jaccard on the full sets confirms each link, components of links are the classes, and all of a class but its
+first paragraph by (document id, number) are removals.
 
 Defined results: null and empty texts have no paragraphs; shorter paragraphs never take part and always
 stay; repeated rows repeat their paragraphs, and rows with one id and number are one paragraph; a null id
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, candidates, components, contracted, linked
+from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, settled
 from ._spark import small_batches, table, written
-from .forest import _apart, binary, lists, minhashes, reaches, set_ids, sets_of
+from .forest import binary, lists, minhashes, reaches, set_ids, sets_of
 
 MIN_WORDS, SHINGLE = 10, 3
 BANDS, ROWS, WINDOW = 12, 3, 12
-#: Bytes of a band's key.
-KEY = 7
+#: Bytes of a band's key, and of the values of other bands that sort the sets of one key.
+KEY, MORE = 7, 4
 LAST = 2**63 - 1
 
 _seeds = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -68,7 +69,9 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 doc, number, flat, cut = paragraph_sets(data, offsets)
                 sig = minhashes(flat, cut, _MULTIPLY, _ADD).reshape(-1, BANDS, ROWS)
                 key = T.mix(T.pair(T.pair(sig[:, :, 0], sig[:, :, 1]), sig[:, :, 2]))
-                raw = np.ascontiguousarray(key).view(np.uint8).reshape(-1, BANDS, 8)[:, :, :KEY].reshape(-1, BANDS * KEY)
+                raw = np.ascontiguousarray(key).view(np.uint8).reshape(-1, BANDS, 8)[:, :, :KEY]
+                more = np.stack([np.roll(sig[:, :, 0], k, axis=1) for k in range(1, MORE + 1)], axis=2).astype(np.uint8)
+                raw = np.concatenate([raw, more], axis=2).reshape(-1, BANDS * (KEY + MORE))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(number.astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(set_ids(flat, cut)), binary(raw)], ["doc", "para", "n", "rid", "sig"])
 
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text).mapInArrow(run, "doc long, para int, n int, rid long, sig binary")
@@ -79,7 +82,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = batch.num_rows
         if not m:
             continue
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, KEY)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, KEY + MORE)
         again = pa.array(np.repeat(np.arange(m), BANDS))
         empty = pa.Array.from_buffers(pa.binary(), m * BANDS, [None, pa.py_buffer(bytes(4 * (m * BANDS + 1))), pa.py_buffer(b"")])
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), m)), binary(sig), batch.column(0).take(again), batch.column(1).take(again), empty], ["tree", "s", "rid", "n", "sketch"])
@@ -108,21 +111,9 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     small_batches(docs.sparkSession)
     sigs = written(signatures(docs, id_col, text), "paragraphs")
     reps = sigs.groupBy("rid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    shape = {"prefix": KEY, "s_bytes": KEY, "sketch_bytes": 0, "least_same": 0, "window": WINDOW, "ratio": 0.75}
-    pairs, dense = candidates(written(reps, "sets").mapInArrow(_bands, ORDER_ROW), **shape)
-    pairs, dense = written(pairs, "pairs"), written(dense, "crowded")
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct()
-    bodies = _bodies(docs, sigs, wanted, id_col, text)
-    links = written(linked(pairs, bodies, reaches), "links")
-    comp, crowded, tried = components(links), not dense.isEmpty(), pairs.select("a", "b")
-    while crowded:
-        again, dense = candidates(contracted(dense, comp, KEY), **shape)
-        again, dense = written(again.join(tried, ["a", "b"], "left_anti"), "pairs"), written(dense, "crowded")
-        if again.isEmpty():
-            break
-        tried = tried.unionByName(again.select("a", "b"))
-        links = written(links.unionByName(linked(_apart(again, comp), bodies, reaches)), "links")
-        comp, crowded = components(links), not dense.isEmpty()
+    shape = {"prefix": KEY, "s_bytes": KEY + MORE, "sketch_bytes": 0, "least_same": 0, "window": WINDOW, "ratio": 0.75}
+    orders = written(reps, "sets").mapInArrow(_bands, ORDER_ROW)
+    links, comp = settled(orders, lambda wanted: _bodies(docs, sigs, wanted, id_col, text), reaches, shape)
     per = sigs.groupBy("rid").agg(F.min(F.struct("doc", "para")).alias("first"), F.count(F.lit(1)).alias("copies"))
     sets = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
     sets = written(sets, "classed")
