@@ -7,7 +7,7 @@ define the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, forest, lines, pieces, toxicity
@@ -37,22 +37,37 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _text_kept(cut.where((F.col("_lines.n_removed") == 0) | (F.trim("text") != "")), docs.columns)
 
 
+def _same_row(keys: DataFrame) -> DataFrame:
+    """Keys (doc, tkey) under names that no column of documents has."""
+    return keys.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
+
+
+def _is_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates.
+    """One row, of the least id, of each group of near duplicates; empty texts are in no group.
 
-    Of rows that repeat both a kept id and its text, one stays; rows without id stay where their whole group
-    has none, one of each text.
+    Where rows share their group's least id (or its rows have none), the one of the least text hash stays.
     """
-    found = forest.near_duplicates(docs)
-    gone = found.where(~F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("_doc")).distinct()
-    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return rest
+    found = written(forest.near_duplicates(docs).where("n_shingles > 0"), "groups")
+    stays = F.col("doc").eqNullSafe(F.col("component"))
+    gone = found.where(~stays)
+    rest = docs.join(_same_row(gone), _is_row(), "left_anti")
+    again = written(found.where(stays).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tkey", "doc")).alias("one")).where("n > 1"), "again")
+    if again.isEmpty():
+        return rest
+    held = _same_row(found.where(stays).join(again.select("group"), "group"))
+    one = _same_row(again.select("one.*"))
+    chosen = docs.join(one, _is_row(), "left_semi").withColumn("_tkey", F.xxhash64("text")).dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")
+    return rest.join(held, _is_row(), "left_anti").unionByName(chosen)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item aligns."""
     leaks = written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "leaks")
-    return docs.join(leaks.select(F.col("doc").alias("_doc")).distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    return docs.join(_same_row(leaks), _is_row(), "left_anti")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,7 +170,10 @@ def _jobs(items: Items, words: np.ndarray, w: np.ndarray, grams: np.ndarray, at:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, score, seeds, first_word, last_word) of every document and item that align."""
+    """(doc, tkey, item, score, seeds, first_word, last_word) of every document and item that align.
+
+    ``tkey`` is the hash of the document's text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
@@ -213,13 +216,13 @@ def _block(docs: DataFrame, ids: list[int | None], texts: list[str | None], id_c
                 if got:
                     row, item, score, n, a, b = zip(*got)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(row) + i)), pa.array([names[x] for x in item], pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                        ["doc", "item", "score", "seeds", "first_word", "last_word"],
+                        [batch.column(0).take(at_row := pa.array(np.array(row) + i)), batch.column(2).take(at_row), pa.array([names[x] for x in item], pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                        ["doc", "tkey", "item", "score", "seeds", "first_word", "last_word"],
                     )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text).mapInArrow(find, "doc long, item long, score double, seeds long, first_word long, last_word long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text, F.xxhash64(text).alias("tkey")).mapInArrow(find, "doc long, tkey long, item long, score double, seeds long, first_word long, last_word long")
 
 
 def op1_benchmark_alignment(spark, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id", "seeds": "n_seeds"})
+    return found.drop("tkey").withColumnsRenamed({"doc": "doc_id", "item": "item_id", "seeds": "n_seeds"})
