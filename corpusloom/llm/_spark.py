@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so batches are small.
 BATCH_ROWS = 1000
+#: A key is hot if more than one row of so many has it; there are fewer hot keys than this.
+HOT = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir() or named
-    return named.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    #: Arrow's file systems want an authority, be it empty.
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -58,3 +65,25 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, which has each key once, with how many of the ``total`` rows have it.
+
+    Hot keys of ``side``, fewer than ``HOT`` by definition, are broadcast, and their rows are then shuffled
+    by a hash of the ``spread`` columns, away from the other keys, so that no task gets more of one key than
+    the share that makes it hot. Gives the columns of ``rows`` and those of ``side`` but its keys.
+    """
+    rest = [c for c in side.columns if c not in keys]
+    body = F.struct(*rest)
+    hot = F.col(copies) * HOT > total
+    heavy = side.where(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], body.alias("_heavy"))
+    light = side.where(~hot).select(*[F.col(k).alias(f"_l_{k}") for k in keys], body.alias("_light"), F.lit(0).cast("long").alias("_l_away"))
+    match = lambda p: [F.col(k) == F.col(f"_{p}_{k}") for k in keys]
+    out = rows.join(F.broadcast(heavy), match("h"), "left")
+    out = out.withColumn("_away", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*spread), F.lit(2**30)) + 1))
+    out = out.join(light, [*match("l"), F.col("_away") == F.col("_l_away")], "left")
+    found = F.coalesce("_heavy", "_light")
+    if how == "inner":
+        out = out.where(found.isNotNull())
+    return out.select(*rows.columns, *[found.getField(c).alias(c) for c in rest])

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, SALTS
-from ._spark import small_batches, table, written
+from ._links import BROADCAST_IDS
+from ._spark import discard, small_batches, spread_join, table, written
 from .suffixes import suffix_array
 
 LENGTH, ANCHOR = 200, 40
@@ -181,20 +181,20 @@ def _sorted_repeats(strings: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
-FOUND = "anchor long, content long, a int, b int"
+STRING = "anchor long, tkey long, first int, off int, s binary"
+FOUND = "tkey long, a int, b int"
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor; whole groups are worked on together, many at a time."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple] = []
 
-    def work(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        anchors = np.array([r[0] for r in rows], np.int64)
-        _, group = np.unique(anchors, return_inverse=True)
-        got = repeated_windows(group, [r[3] for r in rows], np.array([r[2] for r in rows]))
-        flat = [(r[0], r[1], a, b) for r, spans in zip(rows, got) for a, b in spans]
-        cols = list(zip(*flat)) if flat else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["anchor", "content", "a", "b"])
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+        got = repeated_windows(group, [r[4] for r in rows], np.array([r[3] for r in rows]))
+        flat = [(r[1], r[2] + a, r[2] + b - 1 + LENGTH) for r, spans in zip(rows, got) for a, b in spans]
+        cols = list(zip(*flat)) if flat else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["tkey", "a", "b"])
 
     for batch in batches:
         held += list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -213,59 +213,56 @@ def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of the wanted runs of each text."""
     for batch in batches:
         rows = []
-        for raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for tkey, raw, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             data = raw.encode()
-            rows += [(w["anchor"], w["content"], w["off"], data[w["first"] : w["first"] + w["windows"] - 1 + LENGTH]) for w in wanted]
+            rows += [(w["anchor"], tkey, w["first"], w["off"], data[w["first"] : w["first"] + w["windows"] - 1 + LENGTH]) for w in wanted]
         if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["anchor", "content", "off", "s"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "tkey", "first", "off", "s"])
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """Ranges of repeated windows of anchors too crowded for one task, by counting windows."""
+    """Spans of repeated windows of anchors too crowded for one task, by counting windows."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, _, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for tkey, first, s in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(s) - LENGTH + 1
                 digests = [hashlib.blake2b(s[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([content] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "content", "a", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([tkey] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()), pa.array(digests, pa.binary())], ["tkey", "a", "w"])
 
-    each = written(rows.mapInArrow(windows, "anchor long, content long, a int, w binary"), "windows")
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = each.withColumn("salt", F.pmod(F.xxhash64("content", "a"), F.lit(SALTS)).cast("int")).join(twice, ["w", "salt"], "left_semi")
-    return hit.select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
+    each = written(rows.select("tkey", "first", "s").mapInArrow(windows, "tkey long, a int, w binary"), "windows")
+    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return spread_join(each, twice, ["w"], "n", ["tkey", "a"], each.count()).select("tkey", "a", (F.col("a") + LENGTH).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(tkey, spans): per text (known by its hash) the sorted byte spans to remove, touching ones merged."""
+    """(tkey, spans): per text (known by its hash) the sorted byte spans to remove."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"), F.coalesce(text, F.lit("")).alias("_text")).where(F.octet_length("_text") >= LENGTH)
     every = written(texts.mapInArrow(_runs_of, RUN), "runs")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
-    anchors = anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shared = written(every.withColumn("salt", F.pmod(F.xxhash64("tkey", "first"), F.lit(SALTS)).cast("int")).join(anchors, ["anchor", "salt"]).drop("salt"), "shared")
-    kinds = written(
-        shared.groupBy("anchor", "content", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tkey", "first", "windows", "off")).alias("one")), "kinds"
-    )
-    whole = kinds.where("n > 1").select("anchor", "content", F.lit(0).alias("a"), F.col("one.windows").alias("b"))
-    mixed = kinds.where("mixed").select("anchor", "content", "one.*")
-    crowd = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("anchor")
-    wanted = mixed.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "content", "off", "first", "windows")).alias("wanted"))
-    wanted = written(wanted, "wanted")
-    small = F.broadcast if wanted.count() <= BROADCAST_IDS // 10 else (lambda x: x)
+    anchors = anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed"), "n")
+    shared = written(spread_join(every, anchors, ["anchor"], "n", ["tkey", "first"], every.count()).drop("n"), "shared")
+    discard(every)
+    kinds = shared.groupBy("anchor", "content", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tkey", "first", "windows", "off")).alias("one"))
+    kinds = written(kinds, "kinds")
+    repeats = spread_join(shared, kinds.where("n > 1").select("anchor", "content", "n"), ["anchor", "content"], "n", ["tkey", "first"], shared.count())
+    whole = repeats.select("tkey", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("b"))
+    mixed = kinds.where("mixed").select("anchor", "one.*")
+    crowd = written(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("anchor"), "crowd")
+    wanted = written(mixed.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "off", "first", "windows")).alias("wanted")), "wanted")
+    small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
     found = texts.join(small(wanted.select("tkey")), "tkey").groupBy("tkey").agg(F.first("_text").alias("_text"))
-    strings = written(found.join(wanted, "tkey").select("_text", "wanted").mapInArrow(_cut_runs, "anchor long, content long, off int, s binary"), "strings")
-    crowd = written(crowd, "crowd")
+    strings = written(found.join(wanted, "tkey").select("tkey", "_text", "wanted").mapInArrow(_cut_runs, STRING), "strings")
     few = strings.join(crowd, "anchor", "left_anti")
-    sorted_out = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, FOUND)
-    hits = whole.unionByName(sorted_out)
+    hits = whole.unionByName(few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_groups, FOUND))
     if not crowd.isEmpty():
         hits = hits.unionByName(_crowded(strings.join(crowd, "anchor", "left_semi")))
-    hits = hits.groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("hits")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = shared.withColumn("salt", F.pmod(F.xxhash64("tkey", "first"), F.lit(SALTS)).cast("int")).join(hits, ["anchor", "content", "salt"])
-    spans = rows.select("tkey", "first", "hits").distinct().select("tkey", F.explode(F.transform("hits", lambda h: F.struct((F.col("first") + h["a"]).alias("a"), (F.col("first") + h["b"] - 1 + LENGTH).alias("b")))).alias("s"))
-    return spans.groupBy("tkey").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    spans = written(hits.groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    for done in (shared, kinds, crowd, wanted, strings):
+        discard(done)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -280,10 +277,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", content: bool = True) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256 and, with ``content``, the bytes kept."""
-    spans = repeated_spans(docs, text).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    rows = rows.withColumns({"tkey": F.xxhash64("_text"), "salt": F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")})
-    joined = rows.join(spans, ["tkey", "salt"], "left").select("doc", "_text", "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text"))
+    again = rows.groupBy("tkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spans = repeated_spans(docs, text).join(again, "tkey", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    joined = spread_join(rows, spans, ["tkey"], "n", ["doc"], docs.count(), "left").select("doc", "_text", "spans")
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * content]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,3 +300,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", co
 
 def op6_suffix_groups(spark, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), content=False).withColumnRenamed("doc", "doc_id")
+
+
+OP6_SQL = """
+WITH h AS MATERIALIZED (SELECT doc_id, coalesce(hex(text), '') x, (length(coalesce(hex(text), '')) // 2)::BIGINT n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) k FROM (SELECT doc_id, x, unnest(range(0, n - 199)) i FROM h WHERE n >= 200)),
+f AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) no FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END new FROM f)),
+s AS (SELECT doc_id, no, min(i) a, max(i) + 200 b FROM g GROUP BY doc_id, no),
+p AS (SELECT s.doc_id, no, b - a gone, substr(x, 2 * coalesce(lag(b) OVER v, 0) + 1, 2 * (a - coalesce(lag(b) OVER v, 0))) || CASE WHEN lead(a) OVER v IS NULL THEN substr(x, 2 * b + 1) ELSE '' END piece
+      FROM s JOIN h ON h.doc_id = s.doc_id WINDOW v AS (PARTITION BY s.doc_id ORDER BY no)),
+r AS (SELECT doc_id, sum(gone) gone, count(*) spans, string_agg(piece, '' ORDER BY no) kept FROM p GROUP BY doc_id)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(r.gone, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(r.kept, h.x))) AS kept_sha256
+FROM h LEFT JOIN r ON r.doc_id = h.doc_id
+"""
