@@ -29,14 +29,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, small_batches, table, written
+from ._spark import new_path, small_batches, spread_join, table, written
 
 #: Payloads below this many bytes are always stored.
 REVISIT_BYTES = 1000
 #: An archive file ends after this many compressed bytes.
 FILE_BYTES = 256_000_000
-#: Copies of a small join side over which the rows of a hot payload spread.
-SALTS = 8
 HOPS = 3
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,16 +62,11 @@ def _base32(hex_digest: str) -> str:
 def with_digests(pages: DataFrame) -> DataFrame:
     """Adds the payload, its SHA-1 and length, and of larger repeated payloads the page that stores it."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload"), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
+    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     slim = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
-    keeper = (
-        slim.where(F.col("n") >= REVISIT_BYTES)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
-        .select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    return rows.join(keeper, ["digest", "salt"], "left").withColumn("revisit", ~F.coalesce(F.col("page_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull(), F.lit(True)))
+    keeper = slim.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    joined = spread_join(rows, keeper, ["digest"], "copies", ["page_id", "url"], pages.count(), "left")
+    return joined.withColumn("revisit", ~F.coalesce(F.col("page_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull(), F.lit(True)))
 
 
 def _records(row: dict, pid: int, no: int, file: str, level: int) -> bytes:
@@ -318,12 +311,17 @@ def op2_warc_transactions(spark, sf_dir: str) -> DataFrame:
         F.size("metadata").cast("long").alias("n_metadata"),
     )
     captures = written(captures.withColumn("page_id", F.expr("try_cast(nullif(page, '') AS bigint)")).drop("page"), "captures")
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
     stored = captures.where("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.max("page_id").alias("refers_to"), F.max("own_bytes").alias("full_bytes"))
-    wanted = captures.where("target IS NOT NULL").select("target").distinct()
-    stored = stored.join(wanted, "target", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        captures.withColumn("salt", salt)
-        .join(stored, ["target", "salt"], "left")
-        .select("page_id", F.coalesce("full_bytes", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri", "request_id", "n_metadata")
-    )
+    wanted = captures.where("target IS NOT NULL").groupBy("target").agg(F.count(F.lit(1)).alias("copies"))
+    joined = spread_join(captures, stored.join(wanted, "target"), ["target"], "copies", ["page_id", "record_id"], captures.count(), "left")
+    return joined.select("page_id", F.coalesce("full_bytes", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri", F.col("request_id").isNotNull().alias("has_request"), "n_metadata")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') url, encode(coalesce(html, '')) b FROM pages),
+d AS (SELECT page_id, url, octet_length(b)::BIGINT n, sha1(b) digest FROM p),
+k AS (SELECT digest, max(page_id) keeper FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest, CASE WHEN k.keeper <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.keeper <> d.page_id THEN k.keeper END AS refers_to, d.url AS target_uri, true AS has_request, 1::BIGINT AS n_metadata
+FROM d LEFT JOIN k ON k.digest = d.digest AND d.n >= 1000
+"""

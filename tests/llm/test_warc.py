@@ -29,7 +29,7 @@ def run(spark, rows, tmp_path):
     d = tmp_path / "sf"
     spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int").write.mode("overwrite").parquet(str(d / "pages.parquet"))
     got = W.op2_warc_transactions(spark, str(d)).collect()
-    assert all(r.n_metadata == 1 and r.request_id for r in got)
+    assert all(r.n_metadata == 1 and r.has_request for r in got)
     return sorted((tuple(r)[:5] for r in got), key=str)
 
 
