@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small_batches, table, written
+from ._spark import small_batches, spread_join, table, written
 
 WINDOW = 3
-#: Copies of the table of repeated windows over which the rows of a hot window spread.
-SALTS = 8
 
 
 def line_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,14 +38,9 @@ def line_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 def later_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with repeats: doc and the line spans of every later occurrence."""
     rows = written(line_windows(docs, window, id_col, text), "windows")
-    repeats = (
-        rows.groupBy("key")
-        .agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "a"), F.lit(SALTS)).cast("int"))
-    later = salted.join(repeats, ["key", "salt"]).where((F.col("doc") != F.col("first.doc")) | (F.col("a") != F.col("first.a")))
+    repeats = rows.groupBy("key").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = spread_join(rows, repeats, ["key"], "n", ["doc", "a"], rows.count())
+    later = joined.where((F.col("doc") != F.col("first.doc")) | (F.col("a") != F.col("first.a")))
     return later.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
