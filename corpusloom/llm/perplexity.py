@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import small_batches, table, written
+from ._spark import small_batches, spread_join, table, written
 
 ORDER, CUTOFF = 5, 8
 #: Half-widths of the bands in quartile distances, and the bytes at which a text's band is wider by the half.
@@ -138,7 +138,7 @@ def _discount(n: DataFrame) -> DataFrame:
     def d(k: int) -> Column:
         return F.when(whole, F.greatest(F.lit(0.1), F.least(F.lit(float(k)) - 0.05, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(k * 0.6)).alias(f"d{k}")
 
-    return n.groupBy("lang").agg(*ones).select("lang", d(1), d(2), d(3))
+    return n.groupBy("lang").agg(*ones, F.count(F.lit(1)).alias("grams")).select("lang", d(1), d(2), d(3), "grams")
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
         counts[k] = written(shorter, "grams")
     paths, below, model = [], None, {}
     for k in range(1, ORDER + 1):
-        t = counts[k].join(F.broadcast(_discount(counts[k])), "lang")
+        t = spread_join(counts[k], _discount(counts[k]), ["lang"], "grams", ["g"], counts[k].count())
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         keep = (F.col("n") >= CUTOFF) | F.lit(k < 3)
         t = t.select("lang", "g", "c", F.shiftright("g", 8).alias("ctx"), keep.alias("keep"), (F.col("c") - off).alias("left"))
@@ -184,7 +184,7 @@ def load(paths: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
 
     out = []
     for p in paths:
-        fs, root = pafs.FileSystem.from_uri(p if "://" in p or p.startswith("/") else p.replace("file:", "file://", 1))
+        fs, root = pafs.FileSystem.from_uri(p)
         t = pq.read_table(root, filesystem=fs)
         key, value, backoff = (t.column(c).to_numpy() for c in ("key", "value", "backoff"))
         order = np.argsort(key, kind="stable")
@@ -239,24 +239,25 @@ def signals(docs: DataFrame, paths: list[str], id_col: str = "doc_id", text: str
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(lang, low, mid, high) quartiles of log-perplexity over all documents, in steps of 1 / ``STEPS``."""
+    """(lang, low, mid, high, rows): quartiles of log-perplexity over all documents, in steps of 1 / ``STEPS``."""
     bins = scored.where("log_perplexity IS NOT NULL").groupBy("lang", F.floor(F.col("log_perplexity") * STEPS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("lang").orderBy("bin")
     upto = bins.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("lang"))})
     at = lambda q, name: F.min(F.when(F.col("upto") >= q * F.col("total"), (F.col("bin") + 0.5) / STEPS)).alias(name)
-    return upto.groupBy("lang").agg(at(0.25, "low"), at(0.5, "mid"), at(0.75, "high"))
+    return upto.groupBy("lang").agg(at(0.25, "low"), at(0.5, "mid"), at(0.75, "high"), F.max("total").alias("rows"))
 
 
 def judged(scored: DataFrame) -> DataFrame:
     """Adds base_failed, kept, and the row's band."""
-    b = bands(scored).withColumnRenamed("lang", "_lang")
-    rows = scored.join(F.broadcast(b), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    named = F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))
+    b = bands(scored).withColumn("_lang", named).drop("lang")
+    rows = spread_join(scored.withColumn("_lang", named), b, ["_lang"], "rows", ["doc", "n_words", "n_bytes"], scored.count(), "left")
     wide = BAND * (1 + F.sqrt(SHORT / F.greatest(F.col("n_bytes"), F.lit(1))))
     lower = F.col("mid") - wide * F.greatest(F.col("mid") - F.col("low"), F.lit(0.5 / STEPS))
     upper = F.col("mid") + wide * F.greatest(F.col("high") - F.col("mid"), F.lit(0.5 / STEPS))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(lower, upper), F.lit(False))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & inside, "lower": lower, "upper": upper}).drop("_lang", "low", "mid", "high")
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & inside, "lower": lower, "upper": upper}).drop("_lang", "low", "mid", "high", "rows")
 
 
 def op5_kneser_ney(spark, sf_dir: str) -> DataFrame:
