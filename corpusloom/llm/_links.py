@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import discard, written
+from ._spark import discard, spread_join, written
 
 #: Edges up to which components are found in one task (24 MB); beyond, by distributed star contraction.
 ONE_TASK_EDGES = 1_500_000
 #: Identifiers up to which a join side is broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Copies of a small join side over which the rows of a hot key spread.
-SALTS = 8
+#: Rows of a crowded run that ask, and rows they are held against, in one block.
+QUERIES, ROWS = 500, 20_000
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +61,11 @@ def star_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.where("b <= a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"])
-        if large:
-            return rows.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("a <> m AND salt = 0").select("a", F.col("m").alias("b"))).distinct()
-        return rows.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("a <> m AND salt = 0").select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        rows = spread_join(both, least, ["a"], "n", ["b"], both.count())
+        own = least.where("a <> m").select("a", F.col("m").alias("b"))
+        moved = rows.where("b > a AND b <> m" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.unionByName(own).distinct()
 
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("comp"))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
@@ -187,14 +186,15 @@ def candidates(orders: DataFrame, **shape) -> tuple[DataFrame, DataFrame]:
     (2 x window each) meet in a second sort.
     """
     run = neighbours(**shape)
-    parts = max(orders.rdd.getNumPartitions(), int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = orders.repartitionByRange(parts, "tree", "s", "rid").sortWithinPartitions("tree", "s", "rid")
+    ordered = orders.repartitionByRange("tree", "s", "rid").sortWithinPartitions("tree", "s", "rid")
     found = written(ordered.mapInArrow(run, FOUND_ROW), "neighbours")
     edge = found.where("kind = 1").select("tree", "s", F.col("a").alias("rid"), "n", "sketch").distinct()
     edge = edge.repartition(1).sortWithinPartitions("tree", "s", "rid").mapInArrow(run, FOUND_ROW)
     pairs = found.where("kind = 0").select("a", "b", "same").unionByName(edge.where("kind = 0").select("a", "b", "same"))
     dense = found.where("kind = 2").select("tree", "s", F.col("a").alias("rid"), "n", "sketch").distinct()
-    return pairs.groupBy("a", "b").agg(F.max("same").alias("same")), dense
+    pairs, dense = written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), written(dense, "crowded")
+    discard(found)
+    return pairs, dense
 
 
 def _verifier(reach: Callable[[np.ndarray, np.ndarray], bool]) -> Callable:
@@ -214,10 +214,13 @@ def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
     before, and drops those that links found so far join; so every pair is either verified or joined.
     """
     left, most = pairs, 1
-    found = None
+    found = before = None
     while True:
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))
         left = written(left.withColumn("rank", rank), "left")
+        if before is not None:
+            discard(before)
+        before = left
         if left.isEmpty():
             return found if found is not None else pairs.select("a", "b").limit(0)
         now = left.where(F.col("rank") <= most)
@@ -245,10 +248,11 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
     """(links, components) of all candidates of the sorted orders.
 
     ``bodies`` gives the (rid, body) of wanted identities. Crowded runs are contracted by component and
-    sorted again as long as a pass finds links.
+    sorted again as long as a pass finds links. With sketches, rows outside the main component of a crowded
+    run are at last held against all of the run.
     """
     pairs, dense = candidates(orders, **shape)
-    pairs, dense = written(pairs, "pairs"), written(dense, "crowded")
+    crowded = dense
     own = bodies(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct())
     links = written(linked(pairs, own, reach), "links")
     comp, tried = components(links), pairs.select("a", "b")
@@ -258,12 +262,75 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
         more = written(linked(again, own, reach), "links")
         if more.isEmpty():
             break
-        dense, tried = written(dense, "crowded"), tried.unionByName(again.select("a", "b"))
+        tried = tried.unionByName(again.select("a", "b"))
         links = written(links.unionByName(more), "links")
         comp = components(links)
+    if shape["sketch_bytes"]:
+        apart = stragglers(crowded, comp, shape).join(tried, ["a", "b"], "left_anti")
+        more = written(linked(written(apart, "apart"), own, reach), "links")
+        if not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            comp = components(links)
     return links, comp
 
 
+def stragglers(dense: DataFrame, comp: DataFrame, shape: dict) -> DataFrame:
+    """Pairs (a, b, same) of crowded runs that one component fills by half or more: rows outside it, as a
+    query set, against all rows of their run, in blocks of ``QUERIES`` by ``ROWS``, if their sketches allow a link.
+    """
+    rows = dense.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    rows = written(rows.withColumn("run", F.substring("s", 1, shape["prefix"])).drop("s"), "crowded")
+    parts = rows.groupBy("tree", "run", "comp").agg(F.count(F.lit(1)).alias("m"))
+    runs = parts.groupBy("tree", "run").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "comp")).alias("top"))
+    runs = runs.where("2 * top.m >= rows AND top.m < rows").select("tree", "run", F.col("top.comp").alias("main"), F.ceil((F.col("rows") - F.col("top.m")) / QUERIES).alias("qs"), F.ceil(F.col("rows") / ROWS).alias("ms"), "rows")
+    both = spread_join(rows, runs, ["tree", "run"], "rows", ["rid"], rows.count())
+    block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = both.where("comp <> main").withColumn("q", block("qs")).withColumn("x", every("ms")).withColumn("asks", F.lit(True))
+    held = both.withColumn("q", every("qs")).withColumn("x", block("ms")).withColumn("asks", F.lit(False))
+    cols = ["tree", "run", "q", "x", "asks", "rid", "comp", "n", "sketch"]
+    grid = asked.select(cols).unionByName(held.select(cols)).repartition("tree", "run", "q", "x").sortWithinPartitions("tree", "run", "q", "x")
+    found = grid.mapInArrow(_asking(shape), "a long, b long, same int")
+    return found.groupBy("a", "b").agg(F.max("same").alias("same"))
+
+
+def _asking(shape: dict) -> Callable:
+    width, least, ratio = shape["sketch_bytes"], shape["least_same"], shape["ratio"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        asks = t["asks"].to_numpy(zero_copy_only=False)
+        rid, comp, n = (t[c].to_numpy() for c in ("rid", "comp", "n"))
+        sketch = _fixed(t["sketch"].chunk(0), width)
+        held = np.flatnonzero(~asks)
+        out = []
+        for q in np.flatnonzero(asks):
+            small, big = np.minimum(n[held], n[q]), np.maximum(n[held], n[q])
+            at = held[(comp[held] != comp[q]) & (small >= ratio * big)]
+            same = (sketch[at] == sketch[q]).sum(1)
+            ok = same >= least
+            at, same = at[ok], same[ok]
+            out.append((np.minimum(rid[at], rid[q]), np.maximum(rid[at], rid[q]), same))
+        cols = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [[]] * 3)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32))], ["a", "b", "same"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            start = 0
+            for i, k in enumerate(keys):
+                if k != last:
+                    if held or i > start:
+                        yield pairs(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
+                    held, start, last = [], i, k
+            held.append(batch.slice(start))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one component."""
     return (

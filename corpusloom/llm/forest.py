@@ -5,7 +5,9 @@ a text of one word is its own shingle). Equal sets are collapsed first. Each of
 distinct sets by ``DEPTH`` MinHash values; in an order a set meets its next ``WINDOW`` neighbours, those of
 the longest common prefix, as long as they share ``LEAST_DEPTH`` values. A crowded region is thereby entered
 deeper than a sparse one. Runs longer than the window are contracted by component and sorted again until no
-pass finds a link. Every link is confirmed on the full sets, and components of links are the groups.
+pass finds a link; then the rows outside a run's main component are held against all of the run. Every link
+is confirmed on the full sets, and components of links are the groups. A pair at the threshold shares no
+region with probability (1 - 0.75^3)^24 = 0.000002.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows with equal sets are one
 group however often they repeat; a null id takes part, and a group's id is its least id that is not null
@@ -23,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, settled
-from ._spark import small_batches, table, written
+from ._links import BROADCAST_IDS, ORDER_ROW, settled
+from ._spark import small_batches, spread_join, table, written
 
-TREES, DEPTH, LEAST_DEPTH, WINDOW = 16, 6, 3, 10
+TREES, DEPTH, LEAST_DEPTH, WINDOW = 24, 6, 3, 10
 #: Links need 100 * |A & B| >= PERCENT * |A | B|.
 PERCENT = 75
-#: Of the 32 one-byte values of a sketch, pairs with fewer in common aren't verified: at the threshold
-#: 24 are expected, with a deviation of 2.5.
-LEAST_SAME = 12
+#: Of the 48 one-byte values of a sketch, pairs with fewer in common aren't verified: at the threshold
+#: 36 are expected, with a deviation of 3.
+LEAST_SAME = 20
+#: Stands for a null id, after all others.
+LAST = 2**63 - 1
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
 _MULTIPLY, _ADD = _seeds[0] | np.uint64(1), _seeds[1]
@@ -141,9 +145,9 @@ def bodies_of(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str,
     wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
     small = F.broadcast if few else (lambda x: x)
-    rows = sigs.select(F.coalesce("doc", F.lit(-(2**63))).alias("_doc"), "rid").join(small(wanted), "rid")
+    rows = sigs.select(F.coalesce("doc", F.lit(LAST)).alias("_doc"), "rid").join(small(wanted), "rid")
     chosen = rows.groupBy("rid").agg(F.min("_doc").alias("_doc")).select("_doc").distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_doc"), F.col(text).alias("_text")).join(small(chosen), "_doc")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_doc"), F.col(text).alias("_text")).join(small(chosen), "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +175,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def _result(sigs: DataFrame, reps: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
-    grouped = reps.select("rid", "doc", "copies").join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).where("copies > 1 OR comp IS NOT NULL")
-    grouped = grouped.join(comp.select(F.col("id").alias("rid"), F.lit(True).alias("linked")), "rid", "left").where("copies > 1 OR linked")
-    least = grouped.groupBy("comp").agg(F.min("doc").alias("component")).join(grouped.select("comp", "rid"), "comp").join(ends, "rid", "left")
-    least = least.select("rid", "comp", "component", F.coalesce("links", F.lit(0)).alias("links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
-    rows = sigs.select("doc", "tkey", "n", "rid", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(least, ["rid", "salt"], "left").select("doc", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("hit"), F.col("component")).otherwise(F.col("doc")).alias("component"), F.coalesce("comp", "rid").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    grouped = reps.select("rid", "doc", "copies").join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
+    least = grouped.groupBy("comp").agg(F.min("doc").alias("component")).join(grouped.select("comp", "rid", "copies"), "comp").join(ends, "rid", "left")
+    least = least.select("rid", "comp", "component", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.lit(True).alias("hit"))
+    rows = spread_join(sigs.select("doc", "tkey", "n", "rid"), least, ["rid"], "copies", ["doc", "tkey"], sigs.count(), "left")
+    component = F.when(F.col("hit"), F.col("component")).otherwise(F.col("doc"))
+    return rows.select("doc", "tkey", F.col("n").cast("long").alias("n_shingles"), component.alias("component"), F.coalesce("comp", "rid").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def op7_lsh_forest(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"), F.col("links").alias("n_links"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT DISTINCT x id, x root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id),
+c AS (SELECT id, min(root) m FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""

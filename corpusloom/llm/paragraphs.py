@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, ORDER_ROW, SALTS, settled
-from ._spark import small_batches, table, written
+from ._links import BROADCAST_IDS, ORDER_ROW, settled
+from ._spark import small_batches, spread_join, table, written
 from .forest import binary, lists, minhashes, reaches, set_ids, sets_of
 
 MIN_WORDS, SHINGLE = 10, 3
@@ -118,8 +118,8 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     sets = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
     sets = written(sets, "classed")
     classes = sets.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
-    classed = sets.select("rid", "comp").join(classes, "comp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sigs.select("doc", "para", "n", "rid", F.pmod(F.xxhash64("doc", "para"), F.lit(SALTS)).cast("int").alias("salt")).join(classed, ["rid", "salt"])
+    classed = sets.select("rid", "comp", F.col("copies").alias("own")).join(classes, "comp")
+    rows = spread_join(sigs.select("doc", "para", "n", "rid"), classed, ["rid"], "own", ["doc", "para"], sigs.count())
     here = (F.col("doc") == F.col("first.doc")) & (F.col("para") == F.col("first.para"))
     return rows.select("doc", "para", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc").alias("class_doc"), F.col("first.para").alias("class_para"), "copies", here.alias("kept"))
 
@@ -128,3 +128,21 @@ def op9_paragraph_bands(spark, sf_dir: str) -> DataFrame:
     found = duplicate_paragraphs(table(spark, sf_dir, "documents"))
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return found.select(real("doc").alias("doc_id"), "para", "n_shingles", real("class_doc").alias("class_doc_id"), "class_para", "copies", "kept")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE q AS (SELECT doc_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) t,
+  unnest(range(len(string_split(text, chr(10))))) para FROM documents),
+w AS (SELECT doc_id * 100000000 + para id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws FROM q),
+sh AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) s FROM w WHERE len(ws) >= 10),
+n AS MATERIALIZED (SELECT id, count(*) n FROM sh GROUP BY id),
+p AS (SELECT a.id x, b.id y, count(*) c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT DISTINCT x id, x root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id),
+c AS MATERIALIZED (SELECT id, min(root) m FROM r GROUP BY id),
+k AS (SELECT m, count(*) copies FROM c GROUP BY m)
+SELECT c.id // 100000000 AS doc_id, (c.id % 100000000)::INTEGER AS para, n.n::BIGINT AS n_shingles, c.m // 100000000 AS class_doc_id,
+  (c.m % 100000000)::INTEGER AS class_para, k.copies::BIGINT AS copies, c.id = c.m AS kept
+FROM c JOIN n ON n.id = c.id JOIN k ON k.m = c.m
+"""
