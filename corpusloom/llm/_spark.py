@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import spread
+
 #: Rows of an Arrow batch: texts may be long, so batches are small.
 BATCH_ROWS = 1000
 #: A key is hot if more than one row of so many has it; there are fewer hot keys than this.
@@ -64,7 +66,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; one of fewer splits than cores is spread over all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:

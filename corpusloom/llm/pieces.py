@@ -335,7 +335,10 @@ def grouped(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[l
 
 
 def encode(df: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",), decode: bool = True) -> DataFrame:
-    """``keep`` columns with ``ids`` (array<int>, an end id last) and, if asked, ``decoded`` text."""
+    """``keep`` columns with ``ids`` (array<int>, an end id last) and, if asked, ``decoded`` text.
+
+    Columns of these names among ``keep`` give way to them.
+    """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +355,7 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: Sequence[str] =
                 yield pa.RecordBatch.from_arrays(cols, [*names, "ids", *["decoded"] * decode])
                 row += len(texts)
 
-    names = list(keep)
+    names = [c for c in keep if c != "ids" and not (decode and c == "decoded")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
     return df.select(text, *names).mapInArrow(run, f"{schema}, ids array<int>" + ", decoded string" * decode)
 

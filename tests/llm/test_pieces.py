@@ -46,3 +46,5 @@ def test_digests_of_null_empty_repeated_and_extra_columns(spark):
     assert P.digests(df.limit(0), PATH).count() == 0
     whole = P.encode(df, PATH, keep=("doc_id", "n_tokens")).where("doc_id = 3").first()
     assert whole.decoded == "a b" and whole.ids[-1] == 2 and whole.n_tokens == 5
+    again = P.encode(df.selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded"), PATH, keep=("doc_id", "ids", "decoded"))
+    assert again.columns == ["doc_id", "ids", "decoded"] and again.where("doc_id = 3").first().decoded == "a b"
