@@ -6,8 +6,9 @@ compared without outer blanks, is hashed (128 bits). The first occurrence by (do
 repeated window stays, all others are removed: the lines covered by any of them go, spans merged.
 
 Defined results: a null text stays null with no lines; an empty text has one blank line and stays; texts
-with fewer lines than a window are never changed; rows with one document id count as one document, null
-ids as one document after all others; an empty table gives no rows. Other columns pass through unread.
+with fewer lines than a window are never changed; rows of one id and text count as one document, so neither
+holds repeats of the other; rows of one id (or none, which comes last) and different texts are ordered by a
+hash of the text; an empty table gives no rows. Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -23,25 +24,26 @@ WINDOW = 3
 
 
 def line_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per window: key (128-bit hash), doc, and its first and last line number."""
+    """One row per window: key (128-bit hash), doc, tkey (hash of the text), and its first and last line number."""
     if window < 1:
         raise ValueError("window must be at least 1")
     lines = docs.select(
         F.coalesce(F.col(id_col), F.lit(2**63 - 1)).alias("doc"),
+        F.xxhash64(text).alias("tkey"),
         F.expr(f"filter(transform(split(`{text}`, '\\n', -1), (x, i) -> struct(btrim(x, ' \\t\\r') AS t, i AS p)), s -> s.t != '')").alias("ls"),
     ).where(F.size("ls") >= window)
     texts = ", ".join(f"ls[k + {j}].t" for j in range(window))
     each = f"transform(sequence(0, size(ls) - {window}), k -> struct(unhex(md5(concat_ws('\\n', {texts}))) AS key, ls[k].p AS a, ls[k + {window - 1}].p AS b))"
-    return lines.select("doc", F.explode(F.expr(each)).alias("w")).select("w.key", "doc", "w.a", "w.b")
+    return lines.select("doc", "tkey", F.explode(F.expr(each)).alias("w")).select("w.key", "doc", "tkey", "w.a", "w.b")
 
 
 def later_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with repeats: doc and the line spans of every later occurrence."""
+    """Per document with repeats: doc, tkey, and the line spans of every later occurrence."""
     rows = written(line_windows(docs, window, id_col, text), "windows")
-    repeats = rows.groupBy("key").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = spread_join(rows, repeats, ["key"], "n", ["doc", "a"], rows.count())
-    later = joined.where((F.col("doc") != F.col("first.doc")) | (F.col("a") != F.col("first.a")))
-    return later.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    repeats = rows.groupBy("key").agg(F.min(F.struct("doc", "tkey", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = spread_join(rows, repeats, ["key"], "n", ["doc", "tkey", "a"], rows.count())
+    later = joined.where((F.col("doc") != F.col("first.doc")) | (F.col("tkey") != F.col("first.tkey")) | (F.col("a") != F.col("first.a")))
+    return later.groupBy("doc", "tkey").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def _without(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
@@ -64,15 +66,15 @@ def _without(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with repeated windows removed, then ``n_lines`` and ``n_removed`` in a struct ``_lines``."""
     small_batches(docs.sparkSession)
-    spans = later_spans(docs, window, id_col, text).withColumnsRenamed({"doc": "_doc", "spans": "_spans"})
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(2**63 - 1))).join(spans, F.col("_key") == F.col("_doc"), "left")
+    spans = later_spans(docs, window, id_col, text).withColumnsRenamed({"doc": "_doc", "tkey": "_tkey", "spans": "_spans"})
+    joined = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(2**63 - 1))).join(spans, (F.col("_key") == F.col("_doc")) & (F.xxhash64(text) == F.col("_tkey")), "left")
     without = F.arrow_udf(_without, "struct<text: string, n: long>")
     cut = without(F.when(F.col("_spans").isNotNull(), F.col(text)), F.col("_spans.a"), F.col("_spans.b"))
     return (
         joined.withColumn("_cut", cut)
         .withColumn("_lines", F.struct(F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_cut.n", F.lit(0)).cast("long").alias("n_removed")))
         .withColumn(text, F.coalesce("_cut.text", text))
-        .drop("_key", "_doc", "_spans", "_cut")
+        .drop("_key", "_doc", "_tkey", "_spans", "_cut")
     )
 
 

@@ -4,19 +4,27 @@ import random
 from corpusloom.llm import lines as L
 
 
+ORDER = {}
+
+
+def docs_in_order(rows):
+    """Documents by id and, of one id, by the hash that the operator orders them by."""
+    return sorted({(2**63 - 1 if i is None else i, t) for i, t in rows if t is not None}, key=lambda d: (d[0], ORDER.get(d[1], 0), d[1]))
+
+
 def brute(rows, n=3):
     """Removed lines by plain scanning, in order of (id, line)."""
     first, cover = {}, {}
-    for i, t in sorted({(2**63 - 1 if i is None else i, t) for i, t in rows if t is not None}):
+    for i, t in docs_in_order(rows):
         xs = [(x.strip(" \t\r"), p) for p, x in enumerate(t.split("\n"))]
         xs = [(x, p) for x, p in xs if x]
         for k in range(len(xs) - n + 1):
             key = tuple(x for x, _ in xs[k : k + n])
-            if first.setdefault(key, (i, k)) != (i, k):
-                cover.setdefault(i, set()).update(range(xs[k][1], xs[k + n - 1][1] + 1))
+            if first.setdefault(key, (i, t, k)) != (i, t, k):
+                cover.setdefault((i, t), set()).update(range(xs[k][1], xs[k + n - 1][1] + 1))
     out = []
     for i, t in rows:
-        gone = cover.get(2**63 - 1 if i is None else i, set())
+        gone = cover.get((2**63 - 1 if i is None else i, t), set())
         xs = [] if t is None else t.split("\n")
         out.append((i, len(xs), len([p for p in range(len(xs)) if p in gone]), None if t is None else "\n".join(x for p, x in enumerate(xs) if p not in gone)))
     return sorted(out, key=str)
@@ -24,6 +32,7 @@ def brute(rows, n=3):
 
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_lines int, key string")
+    ORDER.update({r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()})
     got = L.dedup_lines(df).selectExpr("doc_id", "_lines.n_lines n", "_lines.n_removed r", "text").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
@@ -34,6 +43,7 @@ def test_cases(spark):
 
 def test_repeated_rows_and_empty_table(spark):
     check(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")])
+    check(spark, [(None, "p\nq\na\nb\nc"), (None, "x\ny\nz\nu\nv"), (None, "a\nb\nc"), (3, "a\nb\nc\nd\ne"), (3, "k\nl\nm\na\nb\nc")])
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.dedup_lines(df).count() == 0
 
