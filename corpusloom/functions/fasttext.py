@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._files import resolve
 from ._regex import columns
 
 MAGIC = 793712314
@@ -217,6 +218,7 @@ def _load(path: str, changed: float) -> Model:
 
 def model(path: str) -> Model:
     """A worker keeps its models until their files change."""
+    path = resolve(path)
     return _load(path, os.path.getmtime(path))
 
 
@@ -234,7 +236,7 @@ def folded(predictions: Sequence[tuple[str, float]], labels: Sequence[str]) -> t
 def fasttext(expr: Column | str, *, path: str, labels: Sequence[str], output_aggregate: bool = True, output_scores: bool = False, add_eos: bool = True) -> Column:
     """A struct of top_label, top_score and total_score over ``labels`` and, if asked, a score per label.
 
-    White-space runs count as one space. Null text gives null fields. ``path`` must be visible to all executors.
+    White-space runs count as one space. Null text gives null fields. ``path`` is one that all executors see, or a file sent to them with ``ship_file``.
     """
     wanted = list(labels)
     if not wanted or len(set(wanted)) != len(wanted):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._files import resolve
 from ._regex import columns
 
 
@@ -29,7 +30,7 @@ def _from_json(payload: str):
 def tokenize(expr: Column | str, *, tokenizer) -> Column:
     """Ids without special tokens as array<bigint>; null for null, [] for empty text.
 
-    ``tokenizer`` is a Tokenizer, or the path of its JSON file, which every executor must see.
+    ``tokenizer`` is a Tokenizer, or the path of its JSON file, one that every executor sees or that was sent to them.
     """
     from tokenizers import Tokenizer
 
@@ -41,7 +42,7 @@ def tokenize(expr: Column | str, *, tokenizer) -> Column:
         raise ValueError(f"tokenizer must be a path or a Tokenizer, not {type(tokenizer)}")
 
     def encode(text: pa.Array) -> pa.Array:
-        own = _from_file(payload, os.path.getmtime(payload)) if is_path else _from_json(payload)
+        own = _from_file(place := resolve(payload), os.path.getmtime(place)) if is_path else _from_json(payload)
         rows = text.to_pylist()
         found = iter(own.encode_batch_fast([t for t in rows if t is not None], add_special_tokens=False))
         return pa.array([None if t is None else next(found).ids for t in rows], pa.list_(pa.int64()))

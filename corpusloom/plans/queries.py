@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions.fasttext import EOS, MAGIC, SOFTMAX
 from ..operators import bucket_columns, spread, unnest
-from ..sources import read_table, ship_file, shipped
+from ..sources import read_table, ship_file
 
 SCRUB = [r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9]+"]
 #: A fixed vocabulary for the tokenizer query.
@@ -80,7 +80,7 @@ def fasttext_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-model-"), f"words-{os.getpid()}.bin")
     write_model(path, WEIGHTS, labels)
     name = ship_file(spark, path)
-    found = documents(spark, sf_dir).select("doc_id", fn.fasttext("text", path=shipped(name), labels=labels).alias("langid"))
+    found = documents(spark, sf_dir).select("doc_id", fn.fasttext("text", path=name, labels=labels).alias("langid"))
     return found.select("doc_id", "langid.top_label", F.col("langid.top_score").between(0.5, 1.0001).alias("top_leads"), F.col("langid.total_score").between(0.999, 1.001).alias("total_is_one"))
 
 
