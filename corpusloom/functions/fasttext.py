@@ -233,7 +233,7 @@ def folded(predictions: Sequence[tuple[str, float]], labels: Sequence[str]) -> t
     return top, best, sum(scores), scores
 
 
-def fasttext(expr: Column | str, *, path: str, labels: Sequence[str], output_aggregate: bool = True, output_scores: bool = False, add_eos: bool = True) -> Column:
+def fasttext(expr: Column | str, *, path: str, labels: Sequence[str], output_scores: bool = False, output_aggregate: bool = True, add_eos: bool = True) -> Column:
     """A struct of top_label, top_score and total_score over ``labels`` and, if asked, a score per label.
 
     White-space runs count as one space. Null text gives null fields. ``path`` is one that all executors see, or a file sent to them with ``ship_file``.

@@ -100,6 +100,6 @@ QUERIES = {
     "fasttext": fasttext_labels,
     "tokenize": _simple("ids", lambda: F.concat_ws(" ", fn.tokenize("text", tokenizer=word_level()).cast("array<string>"))),
     "tokens": _simple("tokens", lambda: F.concat_ws("|", fn.tokens("text"))),
-    "normalize": _simple("text", lambda: fn.normalize("text", form="NFC", lowercase=True, only_script=True, remove_newlines=True, contract_whitespace=True)),
+    "normalize": _simple("text", lambda: fn.normalize("text", contract_whitespace=True, remove_newlines=True, only_script=True, lowercase=True, form="NFC")),
     "normalize_partial": _simple("text", lambda: fn.normalize("text", only_script=True, contract_whitespace=True)),
 }

@@ -171,7 +171,7 @@ def test_native_scrub_equals_arrow_scrub(spark):
 
 def test_normalize_steps_in_order(spark):
     rows = [None, "", "A--B\n\nC\t  D", "café!", "ﬁ Ⅻ", "हिन्दी, ²x", "\n \n"]
-    every = dict(form="NFC", lowercase=True, only_script=True, remove_newlines=True, contract_whitespace=True)
+    every = dict(contract_whitespace=True, remove_newlines=True, only_script=True, lowercase=True, form="NFC")
     assert column(spark, fn.normalize("text", **every), rows) == [None, "", "a b c d", "café ", "ﬁ ⅻ", "हिन्दी x", " "]
     assert column(spark, fn.normalize("text", form="NFKC"), rows)[4] == "fi XII"
     assert column(spark, fn.normalize("text", contract_whitespace=True), rows)[6] == "\n \n"
