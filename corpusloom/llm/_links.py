@@ -244,14 +244,16 @@ def contracted(dense: DataFrame, comp: DataFrame, prefix: int) -> DataFrame:
     return rows.groupBy("tree", run, "comp").agg(F.min_by(F.struct("s", "rid", "n", "sketch"), F.struct("s", "rid")).alias("x")).select("tree", "x.s", "x.rid", "x.n", "x.sketch")
 
 
-def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict) -> tuple[DataFrame, DataFrame]:
+def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict, spent: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all candidates of the sorted orders.
 
-    ``bodies`` gives the (rid, body) of wanted identities. Crowded runs are contracted by component and
+    ``bodies`` gives the (rid, body) of wanted identities; tables of ``spent`` are only read by the orders. Crowded runs are contracted by component and
     sorted again as long as a pass finds links. With sketches, rows outside the main component of a crowded
     run are at last held against all of the run.
     """
     pairs, dense = candidates(orders, **shape)
+    for table in spent:
+        discard(table)
     crowded = dense
     own = bodies(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct())
     links = written(linked(pairs, own, reach), "links")

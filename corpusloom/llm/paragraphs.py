@@ -10,8 +10,8 @@ Jaccard on the full sets confirms each link, components of links are the classes
 first paragraph by (document id, number) are removals.
 
 Defined results: null and empty texts have no paragraphs; shorter paragraphs never take part and always
-stay; repeated rows repeat their paragraphs, and rows with one id and number are one paragraph; a null id
-counts after all others; long texts are used whole; an empty table gives no rows.
+stay; repeated rows repeat their paragraphs, which count as one where id, text and number agree; of one id
+and number the text of the least hash comes first; a null id counts after all others; long texts are used whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._links import BROADCAST_IDS, ORDER_ROW, settled
-from ._spark import small_batches, spread_join, table, written
+from ._spark import discard, small_batches, spread_join, table, written
 from .forest import binary, lists, minhashes, reaches, set_ids, sets_of
 
 MIN_WORDS, SHINGLE = 10, 3
@@ -61,7 +61,7 @@ def paragraph_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row per paragraph: doc, para, n (set size), rid (identity of the set), sig (all band keys)."""
+    """One row per paragraph: doc, tkey (hash of the text), para, n (set size), rid (identity of the set), sig (all band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +72,9 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 raw = np.ascontiguousarray(key).view(np.uint8).reshape(-1, BANDS, 8)[:, :, :KEY]
                 more = np.stack([np.roll(sig[:, :, 0], k, axis=1) for k in range(1, MORE + 1)], axis=2).astype(np.uint8)
                 raw = np.concatenate([raw, more], axis=2).reshape(-1, BANDS * (KEY + MORE))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(number.astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(set_ids(flat, cut)), binary(raw)], ["doc", "para", "n", "rid", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at := pa.array(doc + i)), batch.column(2).take(at), pa.array(number.astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(set_ids(flat, cut)), binary(raw)], ["doc", "tkey", "para", "n", "rid", "sig"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text).mapInArrow(run, "doc long, para int, n int, rid long, sig binary")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text, F.xxhash64(text).alias("tkey")).mapInArrow(run, "doc long, tkey long, para int, n int, rid long, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +109,20 @@ def _bodies(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str, te
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every paragraph of a class of two or more: doc, para, n_shingles, class_doc, class_para, copies, kept."""
     small_batches(docs.sparkSession)
-    sigs = written(signatures(docs, id_col, text), "paragraphs")
-    reps = sigs.groupBy("rid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signed = written(signatures(docs, id_col, text), "signatures")
+    sigs = written(signed.drop("sig"), "paragraphs")
+    reps = signed.groupBy("rid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     shape = {"prefix": KEY, "s_bytes": KEY + MORE, "sketch_bytes": 0, "least_same": 0, "window": WINDOW, "ratio": 0.75}
-    orders = written(reps, "sets").mapInArrow(_bands, ORDER_ROW)
-    links, comp = settled(orders, lambda wanted: _bodies(docs, sigs, wanted, id_col, text), reaches, shape)
-    per = sigs.groupBy("rid").agg(F.min(F.struct("doc", "para")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = written(reps, "sets")
+    discard(signed)
+    links, comp = settled(reps.mapInArrow(_bands, ORDER_ROW), lambda wanted: _bodies(docs, sigs, wanted, id_col, text), reaches, shape, (reps,))
+    per = sigs.groupBy("rid").agg(F.min(F.struct("doc", "para", "tkey")).alias("first"), F.count(F.lit(1)).alias("copies"))
     sets = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
     sets = written(sets, "classed")
     classes = sets.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
     classed = sets.select("rid", "comp", F.col("copies").alias("own")).join(classes, "comp")
-    rows = spread_join(sigs.select("doc", "para", "n", "rid"), classed, ["rid"], "own", ["doc", "para"], sigs.count())
-    here = (F.col("doc") == F.col("first.doc")) & (F.col("para") == F.col("first.para"))
+    rows = spread_join(sigs.select("doc", "tkey", "para", "n", "rid"), classed, ["rid"], "own", ["doc", "tkey", "para"], sigs.count())
+    here = (F.col("doc") == F.col("first.doc")) & (F.col("para") == F.col("first.para")) & (F.col("tkey") == F.col("first.tkey"))
     return rows.select("doc", "para", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc").alias("class_doc"), F.col("first.para").alias("class_para"), "copies", here.alias("kept"))
 
 

@@ -5,13 +5,16 @@ from corpusloom.llm import paragraphs as P
 from tests.llm.test_forest import prose
 
 
+ORDER = {}
+
+
 def brute(rows):
     paras = []
     for d, t in rows:
         for k, p in enumerate((t or "").split("\n")):
             w = re.findall("[^\x20\x09-\x0d]+", p.translate({i: i + 32 for i in range(65, 91)}))
             if len(w) >= P.MIN_WORDS:
-                paras.append((P.LAST if d is None else d, k, set(zip(w, w[1:], w[2:]))))
+                paras.append((P.LAST if d is None else d, k, set(zip(w, w[1:], w[2:])), (ORDER.get(t, 0), t)))
     root = list(range(len(paras)))
 
     def find(i):
@@ -30,13 +33,14 @@ def brute(rows):
     out = []
     for g in groups.values():
         if len(g) > 1:
-            first = min(p[:2] for p in g)
-            out += [(d, k, len(s), *first, len(g), (d, k) == first) for d, k, s in g]
+            first = min((d, k, h) for d, k, _, h in g)
+            out += [(d, k, len(s), *first[:2], len(g), (d, k, h) == first) for d, k, s, h in g]
     return sorted(out)
 
 
 def run(spark, rows):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, para int")
+    ORDER.update({r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()})
     return sorted(tuple(r) for r in P.duplicate_paragraphs(df).collect())
 
 
@@ -44,6 +48,10 @@ def test_edges(spark):
     ten = "a b c d e f g h i j"
     rows = [(1, None), (2, ""), (3, ten + "\n" + ten.upper()), (4, "\n\n" + ten), (5, "a b c d e f g h i"), (None, ten), (6, ten + "\r\n" + "x " * 40000), (7, "x " * 30000), (7, "x " * 30000)]
     assert run(spark, rows) == brute(rows)
+    one, two = "p q r s t u v w x y", "k l m n o p q r s t"
+    rows = [(None, one), (None, two), (None, one + "\n" + two), (4, one), (4, two), (4, one + " ")]
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(r[-1] for r in got) == 2
     assert run(spark, []) == []
 
 
