@@ -21,7 +21,7 @@ ONE_TASK_EDGES = 1_500_000
 #: Identifiers up to which a join side is broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Rows of a crowded run that ask, and rows they are held against, in one block.
-QUERIES, ROWS = 500, 20_000
+QUERIES, ROWS = 500, 2_000
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,67 +268,72 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
         links = written(links.unionByName(more), "links")
         comp = components(links)
     if shape["sketch_bytes"]:
-        apart = stragglers(crowded, comp, shape).join(tried, ["a", "b"], "left_anti")
-        more = written(linked(written(apart, "apart"), own, reach), "links")
+        more = written(stragglers(crowded, comp, own, reach, shape), "links")
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             comp = components(links)
     return links, comp
 
 
-def stragglers(dense: DataFrame, comp: DataFrame, shape: dict) -> DataFrame:
-    """Pairs (a, b, same) of crowded runs that one component fills by half or more: rows outside it, as a
-    query set, against all rows of their run, in blocks of ``QUERIES`` by ``ROWS``, if their sketches allow a link.
+def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, reach: Callable, shape: dict) -> DataFrame:
+    """Links (a, b) of rows that share a crowded run with a component that fills it by half or more.
+
+    Those rows are a query set: each is held against all rows of that component's crowded runs, in blocks of
+    ``QUERIES`` by ``ROWS``, by sketch and then in full. Of the links of a row to one component one is given.
     """
     rows = dense.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     rows = written(rows.withColumn("run", F.substring("s", 1, shape["prefix"])).drop("s"), "crowded")
     parts = rows.groupBy("tree", "run", "comp").agg(F.count(F.lit(1)).alias("m"))
     runs = parts.groupBy("tree", "run").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "comp")).alias("top"))
-    runs = runs.where("2 * top.m >= rows AND top.m < rows").select("tree", "run", F.col("top.comp").alias("main"), F.ceil((F.col("rows") - F.col("top.m")) / QUERIES).alias("qs"), F.ceil(F.col("rows") / ROWS).alias("ms"), "rows")
+    runs = runs.where("2 * top.m >= rows AND top.m < rows").select("tree", "run", F.col("top.comp").alias("main"), "rows")
     both = spread_join(rows, runs, ["tree", "run"], "rows", ["rid"], rows.count())
+    once = written(both.groupBy("main", "rid").agg(*[F.first(c).alias(c) for c in ("comp", "n", "sketch")]), "crowded")
+    sizes = once.groupBy("main").agg(F.ceil(F.sum((F.col("comp") != F.col("main")).cast("int")) / QUERIES).alias("qs"), F.ceil(F.count(F.lit(1)) / ROWS).alias("ms"), F.count(F.lit(1)).alias("rows"))
+    once = spread_join(once, sizes, ["main"], "rows", ["rid"], once.count())
     block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = both.where("comp <> main").withColumn("q", block("qs")).withColumn("x", every("ms")).withColumn("asks", F.lit(True))
-    held = both.withColumn("q", every("qs")).withColumn("x", block("ms")).withColumn("asks", F.lit(False))
-    cols = ["tree", "run", "q", "x", "asks", "rid", "comp", "n", "sketch"]
-    grid = asked.select(cols).unionByName(held.select(cols)).repartition("tree", "run", "q", "x").sortWithinPartitions("tree", "run", "q", "x")
-    found = grid.mapInArrow(_asking(shape), "a long, b long, same int")
-    return found.groupBy("a", "b").agg(F.max("same").alias("same"))
+    asked = once.where("comp <> main").withColumn("q", block("qs")).withColumn("x", every("ms")).withColumn("asks", F.lit(True))
+    held = once.withColumn("q", every("qs")).withColumn("x", block("ms")).withColumn("asks", F.lit(False))
+    cols = ["main", "q", "x", "asks", "rid", "comp", "n", "sketch"]
+    grid = asked.select(cols).unionByName(held.select(cols)).join(bodies, "rid").select(*cols, "body")
+    grid = grid.repartition("main", "q", "x").sortWithinPartitions("main", "q", "x")
+    return grid.mapInArrow(_asking(shape, reach), "a long, b long").distinct()
 
 
-def _asking(shape: dict) -> Callable:
+def _asking(shape: dict, reach: Callable) -> Callable:
     width, least, ratio = shape["sketch_bytes"], shape["least_same"], shape["ratio"]
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
+    def links(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         asks = t["asks"].to_numpy(zero_copy_only=False)
         rid, comp, n = (t[c].to_numpy() for c in ("rid", "comp", "n"))
-        sketch = _fixed(t["sketch"].chunk(0), width)
-        held = np.flatnonzero(~asks)
+        sketch, body = _fixed(t["sketch"].chunk(0), width), t["body"].chunk(0)
+        ask = np.flatnonzero(asks)
+        own, size, mine = sketch[ask], n[ask], comp[ask]
+        done: set[tuple[int, int]] = set()
         out = []
-        for q in np.flatnonzero(asks):
-            small, big = np.minimum(n[held], n[q]), np.maximum(n[held], n[q])
-            at = held[(comp[held] != comp[q]) & (small >= ratio * big)]
-            same = (sketch[at] == sketch[q]).sum(1)
-            ok = same >= least
-            at, same = at[ok], same[ok]
-            out.append((np.minimum(rid[at], rid[q]), np.maximum(rid[at], rid[q]), same))
-        cols = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [[]] * 3)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32))], ["a", "b", "same"])
+        for h in np.flatnonzero(~asks) if len(ask) else ():
+            fit = (mine != comp[h]) & (np.minimum(size, n[h]) >= ratio * np.maximum(size, n[h])) & ((own == sketch[h]).sum(1) >= least)
+            for k in np.flatnonzero(fit):
+                pair = (int(rid[ask[k]]), int(comp[h]))
+                if pair not in done and reach(body[int(ask[k])].as_py(), body[int(h)].as_py()):
+                    done.add(pair)
+                    out.append((min(pair[0], int(rid[h])), max(pair[0], int(rid[h]))))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             start = 0
             for i, k in enumerate(keys):
                 if k != last:
                     if held or i > start:
-                        yield pairs(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
+                        yield links(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
                     held, start, last = [], i, k
             held.append(batch.slice(start))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield links(pa.Table.from_batches(held))
 
     return run
 

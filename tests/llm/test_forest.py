@@ -91,3 +91,23 @@ def test_hashes_fold_and_split_as_words():
     s, e, w = _text.word_bounds(data, offsets)
     h = _text.span_hashes(data, s, e)
     assert w.tolist() == [0, 2, 2, 4, 5] and (h[:2] == h[2:4]).all() and len(np.unique(h)) == 3
+
+
+def test_rows_that_link_to_one_member_of_a_crowded_family(spark):
+    rnd = random.Random(14)
+    base = prose(rnd, 120)
+    rows = []
+    for k in range(80):
+        w = list(base)
+        w[rnd.randrange(len(w))] = "edit%d" % rnd.randrange(10**6)
+        rows.append((len(rows), " ".join(w)))
+    for k in range(4):
+        member = base + prose(rnd, 30)
+        rows.append((len(rows), " ".join(member)))
+        for _ in range(2):
+            w = list(member)
+            for at in rnd.sample(range(110), 8):
+                w[at] = "edit%d" % rnd.randrange(10**6)
+            rows.append((len(rows), " ".join(w)))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) < 6 and run(spark, rows) == want
