@@ -1,12 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of ASCII letters and digits, lower-cased, and of anything beyond ASCII. Every run of ``SEED``
-words of a test item is counted in the whole corpus; the rarest half of an item's (ties kept) are its
-seeds. A seed in a document opens a window of the item's length and a quarter more on either side; windows
-of one document and item that overlap are one. Smith-Waterman (match 2, mismatch and gap -1, over words)
-scores the item against the window; the score is divided by that of a whole match, and pairs of at least
-``LEAST_SCORE`` are returned with the best window's span. Windows that hold too few of the item's words to
-reach it are not aligned.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
+
+Words are runs of ASCII letters and digits and of anything beyond ASCII, case-folded by Unicode. The seeds of
+a test item are its pairs of neighbouring words, found in a document where the two stand next to each other
+or with one word between. Smith-Waterman (match 2, mismatch and gap -1, over words) scores the item against
+windows of the document; the score is divided by that of a whole match, and pairs of at least
+``LEAST_SCORE`` are returned with the best window's span.
+
+No alignment that reaches ``LEAST_SCORE`` is lost. Of an item of n words, let m be matched; such an alignment
+pays at most 2m - n, spans at most 2n words, and leaves out at most n - m words. Two matched neighbours are
+no seed if words between them are left out (which costs 1) or two or more are put in (which costs 2), so with b
+breaks of the first kind (b <= n - m and b <= 2m - n, so b <= n / 3) at most (2m - n - b) / 2 of the second
+are paid for, and m - 1 - b - (2m - n - b) / 2 >= n / 3 - 1 seeds are left (``held``). Each item therefore
+drops half that many of its pairs, the most frequent in the whole corpus, and a window is aligned where the
+other half stand within 2n words. Windows of one document and item that overlap are one; windows that
+hold too few of the item's words to reach the score are not aligned.
 
 The benchmark is read in blocks of bounded size, each sent to all executors; the documents never move.
 
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import small_batches, table
 
-SEED, LEAST_WORDS = 3, 5
+LEAST_WORDS = 5
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Bytes of benchmark text handled at once; it bounds what is broadcast.
@@ -37,24 +44,36 @@ BLOCK_BYTES = 8_000_000
 CELLS = 2_000_000
 
 
+def held(n: np.ndarray) -> np.ndarray:
+    """Seeds that an alignment of ``LEAST_SCORE`` with an item of n words holds at least."""
+    return -(-n // 3) - 1
+
+
+def folded(column: pa.Array) -> pa.Array:
+    """The texts case-folded; bytes that are no UTF-8 stay."""
+    texts = column.cast(pa.binary()).to_pylist()
+    return pa.array([x if x is None else x.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape") for x in texts], pa.binary())
+
+
 class Items:
-    """The items of a block: words, seeds in sorted order, and where each seed stands."""
+    """The items of a block: words, seeds in sorted order, the items of each seed, and how many seeds open a window."""
 
     def __init__(self, texts: list[str | None]):
-        data, offsets = T.flat(pa.array(texts, pa.string()))
+        data, offsets = T.flat(folded(pa.array(texts, pa.string())))
         s, e, w = T.word_bounds(data, offsets, T.ALNUM)
         words = T.span_hashes(data, s, e)
         self.words = [words[w[i] : w[i + 1]] for i in range(len(w) - 1)]
-        long = np.array([len(x) >= LEAST_WORDS for x in self.words], bool)
-        grams, at = T.ngrams(words, w, SEED)
+        self.size = np.diff(w)
+        self.need = held(self.size)
+        grams, at = T.ngrams(words, w, 2)
         item = np.searchsorted(w, at, "right") - 1
-        use = long[item]
+        use = self.size[item] >= LEAST_WORDS
         self.grams, gram = np.unique(grams[use], return_inverse=True)
-        self._postings(gram, item[use], (at - w[item])[use])
+        self._postings(gram, item[use])
 
-    def _postings(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(gram, kind="stable")
-        self.item, self.place = item[order], place[order]
+    def _postings(self, gram: np.ndarray, item: np.ndarray) -> None:
+        order = np.lexsort((item, gram))
+        self.item = item[order]
         self.first = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,24 +85,27 @@ class Items:
         return hit, at[hit]
 
     def keep_rarest(self, counts: np.ndarray) -> None:
-        """Leaves each item its rarest half of n-grams."""
+        """Drops half of each item's ``held`` number of pairs, the most frequent; the other half open a window."""
         gram = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
-        keep = np.zeros(len(gram), bool)
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(own):
-                c = counts[gram[own]]
-                keep[own] = c <= np.sort(c)[(len(c) - 1) // 2]
+        order = np.lexsort((gram, -counts[gram], self.item))
+        own = self.item[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        keep = np.sort(order[rank >= self.need[own] // 2])
+        self.need = self.need - self.need // 2
         kept, again = np.unique(gram[keep], return_inverse=True)
         self.grams = self.grams[kept]
-        self._postings(again, self.item[keep], self.place[keep])
+        self._postings(again, self.item[keep])
 
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for i, _, data, offsets in T.chunks(column):
+    """First row, words, offsets, and hash and first word of all pairs of words next to each other or with one between."""
+    for i, _, data, offsets in T.chunks(folded(column)):
         s, e, w = T.word_bounds(data, offsets, T.ALNUM)
         words = T.span_hashes(data, s, e)
-        yield i, words, w, *T.ngrams(words, w, SEED)
+        near, at = T.ngrams(words, w, 2)
+        room = np.repeat(w[1:], np.diff(w)) - np.arange(len(words))
+        far = np.flatnonzero(room >= 3)
+        yield i, words, w, np.concatenate([near, T.pair(words[far], words[far + 2])]), np.concatenate([at, far])
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,16 +168,21 @@ def _jobs(items: Items, words: np.ndarray, w: np.ndarray, grams: np.ndarray, at:
         return []
     n = items.first[gram + 1] - items.first[gram]
     which = np.repeat(items.first[gram] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-    item, place = items.item[which], items.place[which]
-    pos = np.repeat(at[hit], n)
+    item, pos = items.item[which], np.repeat(at[hit], n)
+    order = np.lexsort((item, pos))
+    item, pos = item[order], pos[order]
+    new = np.r_[True, (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])]
+    item, pos = item[new], pos[new]
     row = np.searchsorted(w, pos, "right") - 1
-    size = np.array([len(x) for x in items.words])[item]
-    slack = size // 4 + 2
-    lo = np.maximum(pos - place - slack, w[row])
-    hi = np.minimum(pos - place + size + slack, w[row + 1])
-    order = np.lexsort((lo, item, row))
+    order = np.lexsort((pos, item, row))
+    row, item, pos = row[order], item[order], pos[order]
+    reach = 2 * items.size[item]
+    last = np.arange(len(pos)) + items.need[item] - 1
+    end = np.minimum(last, len(pos) - 1)
+    opens = np.flatnonzero((last == end) & (row[end] == row) & (item[end] == item) & (pos[end] - pos < reach))
+    lo, hi = np.maximum(pos - reach + 1, w[row])[opens], np.minimum(pos + reach, w[row + 1])[opens]
     out, k = [], 0
-    row, item, lo, hi = (v[order].tolist() for v in (row, item, lo, hi))
+    row, item, lo, hi = (v.tolist() for v in (row[opens], item[opens], lo, hi))
     while k < len(row):
         r, it, a, b, seeds = row[k], item[k], lo[k], hi[k], 1
         k += 1
@@ -172,7 +199,7 @@ def _jobs(items: Items, words: np.ndarray, w: np.ndarray, grams: np.ndarray, at:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, tkey, item, score, seeds, first_word, last_word) of every document and item that align.
 
-    ``tkey`` is the hash of the document's text.
+    ``tkey`` is the hash of the document's text, ``seeds`` the number of places that opened its windows.
     """
     spark = docs.sparkSession
     small_batches(spark)

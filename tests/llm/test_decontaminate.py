@@ -69,3 +69,22 @@ def test_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(tuple(r) for r in run(spark, docs, items))
     monkeypatch.setattr(D, "BLOCK_BYTES", 500)
     assert sorted(tuple(r) for r in run(spark, docs, items)) == whole and len(whole) == 40
+
+
+def test_edited_and_recased_copies_against_brute_force_alignment(spark):
+    rnd = random.Random(6)
+    items = [(i, " ".join(w + rnd.choice(["", "ß", "ñó"]) for w in prose(rnd, n))) for i, n in enumerate([5, 6, 7, 9, 15, 24, 30, 41])]
+    docs, capitals = [], set()
+    for k, text in items:
+        own = text.split()
+        spaced = [x for w in own for x in (w, "between")]
+        copies = [[("new" if i % step == start else w) for i, w in enumerate(own)] for step in (2, 3, 4) for start in range(step)]
+        capitals.add((len(docs), k))
+        for copy in [text.upper().split(), spaced[:-1], spaced[1:-2], own[: len(own) // 2 + 1], own[::2], own[::-1], *copies]:
+            w = prose(rnd, 40) + copy + prose(rnd, 40)
+            #: Pairs of every item all over the corpus, rarer than those that survive.
+            docs.append((len(docs), " ".join(w + own[:2] + prose(rnd, 3) + own[-2:])))
+    fold = lambda t: t.casefold().split()
+    want = {(d, k): v for d, t in docs for k, i in items if (v := plain(fold(i), fold(t))) >= D.LEAST_SCORE * D.MATCH * len(i.split())}
+    got = {(r.doc, r.item): round(r.score * D.MATCH * len(items[r.item][1].split())) for r in run(spark, docs, items)}
+    assert got == want and capitals <= set(got) and len(want) > 70
