@@ -2,7 +2,8 @@
 
 Nothing here emits all pairs of a group: rows of one sorted order meet only their next ``window``
 neighbours. Where a run of equal prefixes is longer than that, its rows are contracted by component after
-each verification and meet again, until a pass finds no new link.
+each verification and meet again, until a pass finds no new link; what that leaves apart in a run is then held
+against all of the run.
 """
 
 from __future__ import annotations
@@ -248,7 +249,7 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
     """(links, components) of all candidates of the sorted orders.
 
     ``bodies`` gives the (rid, body) of wanted identities; tables of ``spent`` are only read by the orders. Crowded runs are contracted by component and
-    sorted again as long as a pass finds links. With sketches, rows outside the main component of a crowded
+    sorted again as long as a pass finds links. With sketches, rows outside the largest component of a crowded
     run are at last held against all of the run.
     """
     pairs, dense = candidates(orders, **shape)
@@ -268,24 +269,26 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
         links = written(links.unionByName(more), "links")
         comp = components(links)
     if shape["sketch_bytes"]:
-        more = written(stragglers(crowded, comp, own, reach, shape), "links")
+        more = written(stragglers(crowded, comp, own, shape), "links")
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             comp = components(links)
     return links, comp
 
 
-def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, reach: Callable, shape: dict) -> DataFrame:
-    """Links (a, b) of rows that share a crowded run with a component that fills it by half or more.
+def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, shape: dict) -> DataFrame:
+    """Links (a, b) between the components of each crowded run.
 
-    Those rows are a query set: each is held against all rows of that component's crowded runs, in blocks of
-    ``QUERIES`` by ``ROWS``, by sketch and then in full. Of the links of a row to one component one is given.
+    The rows outside a run's largest component are a query set: each is held against all rows of that
+    component's crowded runs, in blocks of ``QUERIES`` by ``ROWS``, by sketch and then in full. So any two rows
+    of a run that are in different components meet, however many there are. Of the links of a row to one
+    component one is given.
     """
     rows = dense.join(comp.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     rows = written(rows.withColumn("run", F.substring("s", 1, shape["prefix"])).drop("s"), "crowded")
     parts = rows.groupBy("tree", "run", "comp").agg(F.count(F.lit(1)).alias("m"))
     runs = parts.groupBy("tree", "run").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "comp")).alias("top"))
-    runs = runs.where("2 * top.m >= rows AND top.m < rows").select("tree", "run", F.col("top.comp").alias("main"), "rows")
+    runs = runs.where("top.m < rows").select("tree", "run", F.col("top.comp").alias("main"), "rows")
     both = spread_join(rows, runs, ["tree", "run"], "rows", ["rid"], rows.count())
     once = written(both.groupBy("main", "rid").agg(*[F.first(c).alias(c) for c in ("comp", "n", "sketch")]), "crowded")
     sizes = once.groupBy("main").agg(F.ceil(F.sum((F.col("comp") != F.col("main")).cast("int")) / QUERIES).alias("qs"), F.ceil(F.count(F.lit(1)) / ROWS).alias("ms"), F.count(F.lit(1)).alias("rows"))
@@ -297,10 +300,10 @@ def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, reach: Call
     cols = ["main", "q", "x", "asks", "rid", "comp", "n", "sketch"]
     grid = asked.select(cols).unionByName(held.select(cols)).join(bodies, "rid").select(*cols, "body")
     grid = grid.repartition("main", "q", "x").sortWithinPartitions("main", "q", "x")
-    return grid.mapInArrow(_asking(shape, reach), "a long, b long").distinct()
+    return grid.mapInArrow(_asking(shape), "a long, b long").distinct()
 
 
-def _asking(shape: dict, reach: Callable) -> Callable:
+def _asking(shape: dict) -> Callable:
     width, least, ratio = shape["sketch_bytes"], shape["least_same"], shape["ratio"]
 
     def links(t: pa.Table) -> pa.RecordBatch:
@@ -308,15 +311,31 @@ def _asking(shape: dict, reach: Callable) -> Callable:
         asks = t["asks"].to_numpy(zero_copy_only=False)
         rid, comp, n = (t[c].to_numpy() for c in ("rid", "comp", "n"))
         sketch, body = _fixed(t["sketch"].chunk(0), width), t["body"].chunk(0)
+        main = t["main"].to_numpy()
         ask = np.flatnonzero(asks)
-        own, size, mine = sketch[ask], n[ask], comp[ask]
+        own, size, mine, name = sketch[ask], n[ask], comp[ask], rid[ask]
+        #: Hashes of all sets that ask, sorted, and whose they are.
+        sets = [np.frombuffer(body[int(k)].as_py(), np.uint64) for k in ask]
+        keys, owner = np.concatenate(sets or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(ask)), [len(x) for x in sets])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
         done: set[tuple[int, int]] = set()
         out = []
         for h in np.flatnonzero(~asks) if len(ask) else ():
             fit = (mine != comp[h]) & (np.minimum(size, n[h]) >= ratio * np.maximum(size, n[h])) & ((own == sketch[h]).sum(1) >= least)
-            for k in np.flatnonzero(fit):
-                pair = (int(rid[ask[k]]), int(comp[h]))
-                if pair not in done and reach(body[int(ask[k])].as_py(), body[int(h)].as_py()):
+            if comp[h] != main[h]:
+                #: Both ask: one way is enough.
+                fit &= name < rid[h]
+            if not fit.any():
+                continue
+            x = np.frombuffer(body[int(h)].as_py(), np.uint64)
+            first = np.searchsorted(keys, x)
+            many = np.searchsorted(keys, x, "right") - first
+            hits = owner[np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))]
+            same = np.bincount(hits, minlength=len(ask))
+            for k in np.flatnonzero(fit & (same >= ratio * (size + n[h] - same))):
+                pair = (int(name[k]), int(comp[h]))
+                if pair not in done:
                     done.add(pair)
                     out.append((min(pair[0], int(rid[h])), max(pair[0], int(rid[h]))))
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])

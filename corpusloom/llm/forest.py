@@ -5,7 +5,7 @@ a text of one word is its own shingle). Equal sets are collapsed first. Each of
 distinct sets by ``DEPTH`` MinHash values; in an order a set meets its next ``WINDOW`` neighbours, those of
 the longest common prefix, as long as they share ``LEAST_DEPTH`` values. A crowded region is thereby entered
 deeper than a sparse one. Runs longer than the window are contracted by component and sorted again until no
-pass finds a link; then the rows outside a run's main component are held against all of the run. Every link
+pass finds a link; then the rows outside a run's largest component are held against all of the run. Every link
 is confirmed on the full sets, and components of links are the groups. A pair at the threshold shares no
 region with probability (1 - 0.75^3)^24 = 0.000002.
 

@@ -111,3 +111,25 @@ def test_rows_that_link_to_one_member_of_a_crowded_family(spark):
             rows.append((len(rows), " ".join(w)))
     want = brute(rows)
     assert len({c for _, _, c in want}) < 6 and run(spark, rows) == want
+
+
+def far_apart(spark, rnd, pairs):
+    """Orders of one run in which the two of each linked pair stand far apart, their bodies, and the links."""
+    common = [rnd.randrange(1, 2**63) for _ in range(160)]
+    sets = [sorted(common + [rnd.randrange(1, 2**63) for _ in range(36)]) for _ in range(pairs)]
+    sets += [sorted(x[:-20] + [rnd.randrange(1, 2**63) for _ in range(20)]) for x in sets]
+    flat, cut = np.concatenate([np.array(x, np.uint64) for x in sets]), np.arange(len(sets) + 1) * 196
+    sig = forest.minhashes(flat, cut, forest._MULTIPLY, forest._ADD).reshape(-1, forest.TREES, forest.DEPTH)[:, :, :2]
+    sketch = (sig >> np.uint64(32)).astype(np.uint8).reshape(len(sets), -1)
+    orders = [(0, b"prefix" + bytes([i // 256, i % 256]), i, 196, bytes(sketch[i])) for i in range(len(sets))]
+    bodies = spark.createDataFrame([(i, np.array(x, np.uint64).tobytes()) for i, x in enumerate(sets)], "rid long, body binary")
+    near = lambda x, y: 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))
+    return orders, bodies, {(i, j) for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])}
+
+
+def test_linked_pairs_far_apart_in_a_crowded_run_of_no_main_component(spark):
+    orders, bodies, want = far_apart(spark, random.Random(15), 40)
+    shape = {"prefix": 6, "s_bytes": 8, "sketch_bytes": 48, "least_same": forest.LEAST_SAME, "window": 3, "ratio": 0.75}
+    links, comp = _links.settled(spark.createDataFrame(orders, _links.ORDER_ROW), lambda wanted: bodies, forest.reaches, shape)
+    assert {tuple(r) for r in links.select("a", "b").collect()} == want == {(i, i + 40) for i in range(40)}
+    assert comp.count() == 80
