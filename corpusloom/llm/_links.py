@@ -245,12 +245,13 @@ def contracted(dense: DataFrame, comp: DataFrame, prefix: int) -> DataFrame:
     return rows.groupBy("tree", run, "comp").agg(F.min_by(F.struct("s", "rid", "n", "sketch"), F.struct("s", "rid")).alias("x")).select("tree", "x.s", "x.rid", "x.n", "x.sketch")
 
 
-def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict, spent: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict, spent: tuple[DataFrame, ...] = (), late: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all candidates of the sorted orders.
 
     ``bodies`` gives the (rid, body) of wanted identities; tables of ``spent`` are only read by the orders. Crowded runs are contracted by component and
-    sorted again as long as a pass finds links. With sketches, rows outside the largest component of a crowded
-    run are at last held against all of the run.
+    sorted again as long as a pass finds links; rows outside the largest component of a crowded run are at last
+    held against all of the run. Orders without sketches say in ``late`` how those rows get theirs: ``sketch`` (a
+    function of flat sets and offsets), ``sketch_bytes`` and ``least_same``.
     """
     pairs, dense = candidates(orders, **shape)
     for table in spent:
@@ -268,6 +269,8 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
         tried = tried.unionByName(again.select("a", "b"))
         links = written(links.unionByName(more), "links")
         comp = components(links)
+    if late and not crowded.isEmpty():
+        crowded, shape = sketched(crowded, own, late["sketch"]), {**shape, **late}
     if shape["sketch_bytes"]:
         more = written(stragglers(crowded, comp, own, shape), "links")
         if not more.isEmpty():
@@ -276,6 +279,20 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
     return links, comp
 
 
+def sketched(dense: DataFrame, bodies: DataFrame, sketch: Callable) -> DataFrame:
+    """``dense`` with sketches made from the rows' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if sets:
+                rows = sketch(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(x) for x in rows], pa.binary())], ["rid", "sketch"])
+
+    made = bodies.select("rid", "body").join(dense.select("rid").distinct(), "rid", "left_semi").mapInArrow(run, "rid long, sketch binary")
+    return dense.drop("sketch").join(written(made, "sketches"), "rid")
+
+
 def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, shape: dict) -> DataFrame:
     """Links (a, b) between the components of each crowded run.
 

@@ -5,7 +5,8 @@ white space, A-Z lowered) take part. A paragraph's set holds its distinct ``SHIN
 sets are collapsed; ``BANDS`` bands of ``ROWS`` MinHash values give each distinct set a key per band, and
 sets that collide in a band are candidates: at the threshold a pair shares no band with probability
 (1 - 0.75^3)^12 = 0.0014. Colliding sets are sorted by values of other bands and meet their next ``WINDOW``
-neighbours; keys with more sets are contracted by component and met again while that finds links. Exact
+neighbours; keys with more sets are contracted by component and met again while that finds links, and then
+the sets outside a key's largest component are held against all of the key, by sketch and in full. Exact
 Jaccard on the full sets confirms each link, components of links are the classes, and all of a class but its
 first paragraph by (document id, number) are removals.
 
@@ -32,10 +33,14 @@ MIN_WORDS, SHINGLE = 10, 3
 BANDS, ROWS, WINDOW = 12, 3, 12
 #: Bytes of a band's key, and of the values of other bands that sort the sets of one key.
 KEY, MORE = 7, 4
+#: One-byte values of the sketch of a set of a crowded key, and how many a pair needs in common to be verified:
+#: at the threshold 36 are expected, with a deviation of 3.
+SKETCH, LEAST_SAME = 48, 20
 LAST = 2**63 - 1
 
 _seeds = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 _MULTIPLY, _ADD = _seeds[0] | np.uint64(1), _seeds[1]
+_others = np.random.Generator(np.random.PCG64(10)).integers(1, 2**63, (2, SKETCH), dtype=np.uint64)
 
 
 def paragraph_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +82,11 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text, F.xxhash64(text).alias("tkey")).mapInArrow(run, "doc long, tkey long, para int, n int, rid long, sig binary")
 
 
+def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of ``SKETCH`` bytes per set."""
+    return (minhashes(flat, offsets, _others[0] | np.uint64(1), _others[1]) >> np.uint64(32)).astype(np.uint8)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         m = batch.num_rows
@@ -106,6 +116,9 @@ def _bodies(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str, te
     return written(whole.groupBy("rid").agg(F.first("body").alias("body")), "bodies")
 
 
+LATE = {"sketch": sketches, "sketch_bytes": SKETCH, "least_same": LEAST_SAME}
+
+
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every paragraph of a class of two or more: doc, para, n_shingles, class_doc, class_para, copies, kept."""
     small_batches(docs.sparkSession)
@@ -115,7 +128,7 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     shape = {"prefix": KEY, "s_bytes": KEY + MORE, "sketch_bytes": 0, "least_same": 0, "window": WINDOW, "ratio": 0.75}
     reps = written(reps, "sets")
     discard(signed)
-    links, comp = settled(reps.mapInArrow(_bands, ORDER_ROW), lambda wanted: _bodies(docs, sigs, wanted, id_col, text), reaches, shape, (reps,))
+    links, comp = settled(reps.mapInArrow(_bands, ORDER_ROW), lambda wanted: _bodies(docs, sigs, wanted, id_col, text), reaches, shape, (reps,), LATE)
     per = sigs.groupBy("rid").agg(F.min(F.struct("doc", "para", "tkey")).alias("first"), F.count(F.lit(1)).alias("copies"))
     sets = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
     sets = written(sets, "classed")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from corpusloom.llm import paragraphs as P
 from tests.llm.test_forest import prose
 
@@ -68,3 +70,20 @@ def test_against_brute_force(spark):
             text.append(" ".join(w))
         rows.append((i, "\n".join(text)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_linked_pairs_far_apart_in_a_crowded_key(spark, monkeypatch):
+    rnd = random.Random(22)
+    base = prose(rnd, 100)
+    family = [base + prose(rnd, 22) for _ in range(30)]
+    family += [w[:-12] + prose(rnd, 12) for w in family]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+
+    def one_key(flat, offsets, multiply, add, hashes=P.minhashes):
+        """All sets in one key of each band, sorted by identity alone."""
+        sig = hashes(flat, offsets, multiply, add)
+        return np.ones_like(sig) if len(multiply) == P.BANDS * P.ROWS else sig
+
+    monkeypatch.setattr(P, "minhashes", one_key)
+    monkeypatch.setattr(P, "WINDOW", 2)
+    assert len(brute(rows)) == 60 and run(spark, rows) == brute(rows)
