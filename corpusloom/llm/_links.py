@@ -23,6 +23,8 @@ ONE_TASK_EDGES = 1_500_000
 BROADCAST_IDS = 1_000_000
 #: Rows of a crowded run that ask, and rows they are held against, in one block.
 QUERIES, ROWS = 500, 2_000
+#: Rows at the edges of partitions that one task sorts.
+EDGE_ROWS = 1_000_000
 
 
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,29 +182,38 @@ def neighbours(prefix: int, s_bytes: int, sketch_bytes: int, least_same: int, wi
 FOUND_ROW = "kind int, a long, b long, same int, tree int, s binary, n int, sketch binary"
 
 
-def candidates(orders: DataFrame, **shape) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (a, b, same) of all sorted orders, and the rows of runs beyond the window.
+def met(rows: DataFrame, keys: list[str], run: Callable, schema: str, edge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that ``run`` finds over ``rows`` sorted by ``keys``, which are split by range, so a hot region spreads over tasks.
 
-    The orders are split by range, so a hot region spreads over tasks; rows at the edges of partitions
-    (2 x window each) meet in a second sort.
+    The rows at the edges of partitions (kind 1, which ``edge`` turns into rows again) meet in further sorts of
+    their own, until one partition holds them all.
     """
-    run = neighbours(**shape)
-    ordered = orders.repartitionByRange("tree", "s", "rid").sortWithinPartitions("tree", "s", "rid")
-    found = written(ordered.mapInArrow(run, FOUND_ROW), "neighbours")
-    edge = found.where("kind = 1").select("tree", "s", F.col("a").alias("rid"), "n", "sketch").distinct()
-    edge = edge.repartition(1).sortWithinPartitions("tree", "s", "rid").mapInArrow(run, FOUND_ROW)
-    pairs = found.where("kind = 0").select("a", "b", "same").unionByName(edge.where("kind = 0").select("a", "b", "same"))
-    dense = found.where("kind = 2").select("tree", "s", F.col("a").alias("rid"), "n", "sketch").distinct()
-    pairs, dense = written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), written(dense, "crowded")
-    discard(found)
-    return pairs, dense
-
-
-def _verifier(reach: Callable[[np.ndarray, np.ndarray], bool]) -> Callable:
+    found = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "neighbours")
+    out = found
+    while True:
+        ends = edge(found.where("kind = 1")).distinct()
+        parts = -(-ends.count() // EDGE_ROWS)
+        if not parts:
+            return out
+        ends = ends.repartition(1) if parts == 1 else ends.repartitionByRange(parts, *keys)
+        found = written(ends.sortWithinPartitions(*keys).mapInArrow(run, schema), "edges")
+        out = out.unionByName(found)
+        if parts == 1:
+            return out
+
+
+def candidates(orders: DataFrame, **shape) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b, same) of all sorted orders, and the rows of runs beyond the window."""
+    row = ["tree", "s", F.col("a").alias("rid"), "n", "sketch"]
+    found = met(orders, ["tree", "s", "rid"], neighbours(**shape), FOUND_ROW, lambda x: x.select(row))
+    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+    return pairs, written(found.where("kind = 2").select(row).distinct(), "crowded")
+
+
+def _verifier(reach: Callable[[pa.Array, pa.Array], list[bool]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(2), batch.column(3)
-            ok = [reach(x.as_py(), y.as_py()) for x, y in zip(xs, ys)]
+            ok = reach(batch.column(2), batch.column(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
@@ -245,17 +256,15 @@ def contracted(dense: DataFrame, comp: DataFrame, prefix: int) -> DataFrame:
     return rows.groupBy("tree", run, "comp").agg(F.min_by(F.struct("s", "rid", "n", "sketch"), F.struct("s", "rid")).alias("x")).select("tree", "x.s", "x.rid", "x.n", "x.sketch")
 
 
-def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict, spent: tuple[DataFrame, ...] = (), late: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of all candidates of the sorted orders.
+def settled(met: tuple[DataFrame, DataFrame], bodies: Callable[[DataFrame], DataFrame], reach: Callable, shape: dict, late: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the candidate pairs and crowded rows that sorted orders gave.
 
-    ``bodies`` gives the (rid, body) of wanted identities; tables of ``spent`` are only read by the orders. Crowded runs are contracted by component and
-    sorted again as long as a pass finds links; rows outside the largest component of a crowded run are at last
-    held against all of the run. Orders without sketches say in ``late`` how those rows get theirs: ``sketch`` (a
+    ``bodies`` gives the (rid, body) of wanted identities. Crowded runs are contracted by component and sorted
+    again as long as a pass finds links; rows outside the largest component of a crowded run are at last held
+    against all of the run. Orders without sketches say in ``late`` how those rows get theirs: ``sketch`` (a
     function of flat sets and offsets), ``sketch_bytes`` and ``least_same``.
     """
-    pairs, dense = candidates(orders, **shape)
-    for table in spent:
-        discard(table)
+    pairs, dense = met
     crowded = dense
     own = bodies(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(dense.select("rid")).distinct())
     links = written(linked(pairs, own, reach), "links")
@@ -280,17 +289,18 @@ def settled(orders: DataFrame, bodies: Callable[[DataFrame], DataFrame], reach:
 
 
 def sketched(dense: DataFrame, bodies: DataFrame, sketch: Callable) -> DataFrame:
-    """``dense`` with sketches made from the rows' sets."""
+    """``dense`` with sizes and sketches made from the rows' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if sets:
-                rows = sketch(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(x) for x in rows], pa.binary())], ["rid", "sketch"])
+                size = [len(x) for x in sets]
+                rows = sketch(np.concatenate(sets), np.r_[0, np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array([bytes(x) for x in rows], pa.binary())], ["rid", "n", "sketch"])
 
-    made = bodies.select("rid", "body").join(dense.select("rid").distinct(), "rid", "left_semi").mapInArrow(run, "rid long, sketch binary")
-    return dense.drop("sketch").join(written(made, "sketches"), "rid")
+    made = bodies.select("rid", "body").join(dense.select("rid").distinct(), "rid", "left_semi").mapInArrow(run, "rid long, n int, sketch binary")
+    return dense.drop("n", "sketch").join(written(made, "sketches"), "rid")
 
 
 def stragglers(dense: DataFrame, comp: DataFrame, bodies: DataFrame, shape: dict) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._links import BROADCAST_IDS, ORDER_ROW, settled
+from ._links import BROADCAST_IDS, ORDER_ROW, candidates, settled
 from ._spark import small_batches, spread_join, table, written
 
 TREES, DEPTH, LEAST_DEPTH, WINDOW = 24, 6, 3, 10
@@ -34,8 +34,6 @@ PERCENT = 75
 #: Of the 48 one-byte values of a sketch, pairs with fewer in common aren't verified: at the threshold
 #: 36 are expected, with a deviation of 3.
 LEAST_SAME = 20
-#: Stands for a null id, after all others.
-LAST = 2**63 - 1
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
 _MULTIPLY, _ADD = _seeds[0] | np.uint64(1), _seeds[1]
@@ -132,12 +130,15 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([tree, binary(sig.reshape(-1, width)), batch.column(0).take(again), batch.column(1).take(again), batch.column(3).take(again)], ["tree", "s", "rid", "n", "sketch"])
 
 
-def reaches(x: bytes, y: bytes) -> bool:
-    """Whether two sets of distinct hashes are linked."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    both = np.sort(np.concatenate([a, b]))
-    same = int((both[1:] == both[:-1]).sum())
-    return 100 * same >= PERCENT * (len(a) + len(b) - same)
+def reaches(xs: pa.Array, ys: pa.Array) -> list[bool]:
+    """Whether the two sets of distinct hashes of each row are linked."""
+    out = []
+    for x, y in zip(xs.to_pylist(), ys.to_pylist()):
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = np.sort(np.concatenate([a, b]))
+        same = int((both[1:] == both[:-1]).sum())
+        out.append(100 * same >= PERCENT * (len(a) + len(b) - same))
+    return out
 
 
 def bodies_of(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -145,9 +146,10 @@ def bodies_of(docs: DataFrame, sigs: DataFrame, wanted: DataFrame, id_col: str,
     wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
     small = F.broadcast if few else (lambda x: x)
-    rows = sigs.select(F.coalesce("doc", F.lit(LAST)).alias("_doc"), "rid").join(small(wanted), "rid")
+    #: Rows without an id are spread by the hash of their text; one that equals an id only fetches one text more.
+    rows = sigs.select(F.coalesce("doc", "tkey").alias("_doc"), "rid").join(small(wanted), "rid")
     chosen = rows.groupBy("rid").agg(F.min("_doc").alias("_doc")).select("_doc").distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_doc"), F.col(text).alias("_text")).join(small(chosen), "_doc")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("_doc"), F.col(text).alias("_text")).join(small(chosen), "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     reps = written(sigs.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")), "sets")
     orders = reps.select("rid", "n", "sig", "sketch").mapInArrow(_orders, ORDER_ROW)
     shape = {"prefix": 2 * LEAST_DEPTH, "s_bytes": 2 * DEPTH, "sketch_bytes": 2 * TREES, "least_same": LEAST_SAME, "window": WINDOW, "ratio": PERCENT / 100}
-    links, comp = settled(orders, lambda wanted: bodies_of(docs, sigs, wanted, id_col, text), reaches, shape)
+    links, comp = settled(candidates(orders, **shape), lambda wanted: bodies_of(docs, sigs, wanted, id_col, text), reaches, shape)
     return _result(sigs, reps, comp, links)
 
 

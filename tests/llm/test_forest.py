@@ -130,6 +130,6 @@ def far_apart(spark, rnd, pairs):
 def test_linked_pairs_far_apart_in_a_crowded_run_of_no_main_component(spark):
     orders, bodies, want = far_apart(spark, random.Random(15), 40)
     shape = {"prefix": 6, "s_bytes": 8, "sketch_bytes": 48, "least_same": forest.LEAST_SAME, "window": 3, "ratio": 0.75}
-    links, comp = _links.settled(spark.createDataFrame(orders, _links.ORDER_ROW), lambda wanted: bodies, forest.reaches, shape)
+    links, comp = _links.settled(_links.candidates(spark.createDataFrame(orders, _links.ORDER_ROW), **shape), lambda wanted: bodies, forest.reaches, shape)
     assert {tuple(r) for r in links.select("a", "b").collect()} == want == {(i, i + 40) for i in range(40)}
     assert comp.count() == 80
