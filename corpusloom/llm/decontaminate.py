@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of anything beyond ASCII, case-folded by Unicode. The seeds of
-a test item are its pairs of neighbouring words, found in a document where the two stand next to each other
+Words are runs of ASCII letters and digits and of anything beyond ASCII, case-folded by Unicode; characters of
+scripts that are written without spaces are words of their own. The seeds of a test item are its pairs of neighbouring words, found in a document where the two stand next to each other
 or with one word between. Smith-Waterman (match 2, mismatch and gap -1, over words) scores the item against
 windows of the document; the score is divided by that of a whole match, and pairs of at least
 ``LEAST_SCORE`` are returned with the best window's span.
@@ -15,16 +15,23 @@ drops half that many of its pairs, the most frequent in the whole corpus, and a
 other half stand within 2n words. Windows of one document and item that overlap are one; windows that
 hold too few of the item's words to reach the score are not aligned.
 
-The benchmark is read in blocks of bounded size, each sent to all executors; the documents never move.
+Items of fewer than ``LEAST_WORDS`` words align with too much to tell: they are found where all their words stand
+next to each other, and score 1.
 
-Defined results: null and empty texts and items give no pairs; items of fewer than ``LEAST_WORDS`` words are
-too short to tell and give none; long texts are scanned whole; repeated rows of either table repeat their
-pairs; null ids are kept; empty tables give no rows.
+Distinct item texts are read in blocks of bounded size. Pairs of words of up to ``COUNTED`` bytes of items at a time
+are counted in one scan of the corpus; then each block, with its seeds, is sent to all executors for a scan of its
+own. The documents never move.
+
+Defined results: null and empty texts and items give no pairs; long texts are scanned whole; repeated rows of either
+table repeat their pairs; null ids are kept; of windows of one document and item with equal scores the first one's
+span is given; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
 
 import numpy as np
@@ -33,13 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import small_batches, table
+from ._spark import small_batches, table, written
 
 LEAST_WORDS = 5
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
-#: Bytes of benchmark text handled at once; it bounds what is broadcast.
-BLOCK_BYTES = 8_000_000
+#: Bytes of items aligned at once, and whose pairs are counted at once; they bound what is broadcast (some 10 bytes
+#: for one of the first, 2 for one of the second).
+BLOCK_BYTES, COUNTED = 16_000_000, 64_000_000
+#: Characters of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 #: Cells of alignments computed together.
 CELLS = 2_000_000
 
@@ -50,9 +60,23 @@ def held(n: np.ndarray) -> np.ndarray:
 
 
 def folded(column: pa.Array) -> pa.Array:
-    """The texts case-folded; bytes that are no UTF-8 stay."""
-    texts = column.cast(pa.binary()).to_pylist()
-    return pa.array([x if x is None else x.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape") for x in texts], pa.binary())
+    """The texts case-folded, with characters that are words of their own set apart; bytes that are no UTF-8 stay."""
+    out = []
+    for x in column.cast(pa.binary()).to_pylist():
+        if x is not None:
+            t = x.decode(errors="surrogateescape").casefold()
+            x = (t if t.isascii() else _UNSPACED.sub(r" \g<0> ", t)).encode(errors="surrogateescape")
+        out.append(x)
+    return pa.array(out, pa.binary())
+
+
+def _found(grams: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``hashes`` are among the sorted ``grams``, and where there."""
+    if not len(grams) or not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+    hit = np.flatnonzero(grams[at] == hashes)
+    return hit, at[hit]
 
 
 class Items:
@@ -70,6 +94,28 @@ class Items:
         use = self.size[item] >= LEAST_WORDS
         self.grams, gram = np.unique(grams[use], return_inverse=True)
         self._postings(gram, item[use])
+        #: Of items too short to align, by number of words: hashes of all their words, sorted, and whose they are.
+        self.short = {}
+        for n in range(1, LEAST_WORDS):
+            own = np.flatnonzero(self.size == n)
+            if len(own):
+                whole = np.array([T.ngrams(self.words[i], np.array([0, n]), n)[0][0] for i in own])
+                order = np.argsort(whole)
+                self.short[n] = (whole[order], own[order])
+
+    def exact(self, words: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
+        """(row, item, 1, places, first word, last word) of each row and short item that stands in it."""
+        out = []
+        for n, (whole, item) in self.short.items():
+            grams, at = T.ngrams(words, w, n)
+            first, last = np.searchsorted(whole, grams), np.searchsorted(whole, grams, "right")
+            hit = np.flatnonzero(last > first)
+            row = np.searchsorted(w, at[hit], "right") - 1
+            for (r, _), group in groupby(sorted(zip(row.tolist(), first[hit].tolist(), at[hit].tolist(), last[hit].tolist())), lambda x: x[:2]):
+                places = list(group)
+                a = places[0][2] - int(w[r])
+                out += [(r, int(item[k]), 1.0, len(places), a, a + n - 1) for k in range(places[0][1], places[0][3])]
+        return out
 
     def _postings(self, gram: np.ndarray, item: np.ndarray) -> None:
         order = np.lexsort((item, gram))
@@ -78,11 +124,7 @@ class Items:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``hashes`` seeds stand, and which."""
-        if not len(self.grams) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
-        hit = np.flatnonzero(self.grams[at] == hashes)
-        return hit, at[hit]
+        return _found(self.grams, hashes)
 
     def keep_rarest(self, counts: np.ndarray) -> None:
         """Drops half of each item's ``held`` number of pairs, the most frequent; the other half open a window."""
@@ -197,59 +239,72 @@ def _jobs(items: Items, words: np.ndarray, w: np.ndarray, grams: np.ndarray, at:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, tkey, item, score, seeds, first_word, last_word) of every document and item that align.
+    """(doc, tkey, item, item_words, score, seeds, first_word, last_word) of every document and item that align.
 
     ``tkey`` is the hash of the document's text, ``seeds`` the number of places that opened its windows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, ceil(size / BLOCK_BYTES))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.md5(F.col(item_text).cast("binary")).alias("key"), F.col(item_text).alias("words")).where("words IS NOT NULL")
+    texts = written(items.groupBy("key").agg(F.first("words").alias("words")), "items")
+    size = texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = max(1, ceil(size / COUNTED))
+    blocks = parts * max(1, ceil(size / parts / BLOCK_BYTES))
+    texts = written(texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))), "items")
     found = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).collect()
-        part = _block(docs, [r.item for r in rows], [r.words for r in rows], id_col, text)
-        found = part if found is None else found.unionByName(part)
-    return found
+    for part in range(parts):
+        held = [texts.where(F.col("block") == k).select("key", "words").toArrow() for k in range(part, blocks, parts)]
+        for more in _aligned(docs, [(t["key"].to_pylist(), t["words"].to_pylist()) for t in held], id_col, text):
+            found = more if found is None else found.unionByName(more)
+    return found.join(items.select("key", "item"), "key").select("doc", "tkey", "item", "item_words", "score", "seeds", "first_word", "last_word")
 
 
-def _block(docs: DataFrame, ids: list[int | None], texts: list[str | None], id_col: str, text: str) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    block = Items(texts)
-    sent = context.broadcast(block)
+def _counted(docs: DataFrame, grams: np.ndarray, text: str) -> np.ndarray:
+    """How often each of the sorted ``grams`` stands in the corpus."""
+    sent = docs.sparkSession.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.grams), np.int64)
+        total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            for _, _, _, grams, _ in _grams(batch.column(0)):
-                total += np.bincount(sent.value.find(grams)[1], minlength=len(total))
+            for _, _, _, seen, _ in _grams(batch.column(0)):
+                total += np.bincount(_found(sent.value, seen)[1], minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counts = np.zeros(len(block.grams), np.int64)
-    #: As many rows as the block has n-grams, at most.
-    for r in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r.gram] = r.n
-    block = Items(texts)
-    block.keep_rarest(counts)
-    seeds = context.broadcast((block, ids))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, names = seeds.value
-        for batch in batches:
-            for i, words, w, grams, at in _grams(batch.column(1)):
-                got = _score(items, _jobs(items, words, w, grams, at))
-                if got:
-                    row, item, score, n, a, b = zip(*got)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at_row := pa.array(np.array(row) + i)), batch.column(2).take(at_row), pa.array([names[x] for x in item], pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                        ["doc", "tkey", "item", "score", "seeds", "first_word", "last_word"],
-                    )
+        for k in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000]), pa.array(total[some[k : k + 100_000]])], ["gram", "n"])
+
+    #: As many rows as there are grams, at most, 16 bytes each.
+    got = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(grams), np.int64)
+    counts[got["gram"].to_numpy()] = got["n"].to_numpy()
+    return counts
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text, F.xxhash64(text).alias("tkey")).mapInArrow(find, "doc long, tkey long, item long, score double, seeds long, first_word long, last_word long")
+
+def _aligned(docs: DataFrame, parts: list[tuple[list[str], list[str]]], id_col: str, text: str) -> Iterator[DataFrame]:
+    """For each block of (keys, texts), the pairs of documents and items that align."""
+    context = docs.sparkSession.sparkContext
+    blocks = [Items(texts) for _, texts in parts]
+    grams = np.unique(np.concatenate([b.grams for b in blocks]))
+    counts = _counted(docs, grams, text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text, F.xxhash64(text).alias("tkey"))
+    for block, (keys, _) in zip(blocks, parts):
+        block.keep_rarest(counts[np.searchsorted(grams, block.grams)])
+        seeds = context.broadcast((block, keys))
+
+        def find(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+            items, names = seeds.value
+            for batch in batches:
+                for i, words, w, grams, at in _grams(batch.column(1)):
+                    got = _score(items, _jobs(items, words, w, grams, at)) + items.exact(words, w)
+                    if got:
+                        row, item, score, n, a, b = zip(*got)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(at_row := pa.array(np.array(row) + i)), batch.column(2).take(at_row), pa.array([names[x] for x in item], pa.string()), pa.array([int(items.size[x]) for x in item], pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                            ["doc", "tkey", "key", "item_words", "score", "seeds", "first_word", "last_word"],
+                        )
+
+        yield rows.mapInArrow(find, "doc long, tkey long, key string, item_words int, score double, seeds long, first_word long, last_word long")
 
 
 def op1_benchmark_alignment(spark, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("tkey").withColumnsRenamed({"doc": "doc_id", "item": "item_id", "seeds": "n_seeds"})
+    return found.drop("tkey", "item_words").withColumnsRenamed({"doc": "doc_id", "item": "item_id", "seeds": "n_seeds"})
