@@ -7,7 +7,7 @@ row per capture.
 
 Captures are keyed by the place (file, offset) of their response or revisit, so equal record ids can't mix
 captures. A record belongs to the capture whose response names it, else to that whose response it names,
-else to that of a record it names, followed for up to ``HOPS`` steps; records that lead nowhere become
+else to that of a record it names, step by step until a step places none; records that lead nowhere become
 captures of their own without a response.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; a null page id
@@ -35,7 +35,6 @@ from ._spark import new_path, small_batches, spread_join, table, written
 REVISIT_BYTES = 1000
 #: An archive file ends after this many compressed bytes.
 FILE_BYTES = 256_000_000
-HOPS = 3
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -276,7 +275,7 @@ def assemble(records: DataFrame) -> DataFrame:
     rest = links.where("NOT main").select("file", "at", "record_id", "concurrent")
     done = rest.join(known, F.col("record_id") == F.col("id")).select("file", "at", "capture")
     rest = rest.join(known, F.col("record_id") == F.col("id"), "left_anti")
-    for _ in range(HOPS):
+    while True:
         via = rest.select("file", "at", "record_id", F.explode("concurrent").alias("id")).join(known, "id").groupBy("file", "at", "record_id").agg(F.min("capture").alias("capture"))
         step = written(via, "links")
         if step.isEmpty():

@@ -58,12 +58,12 @@ def test_reader_takes_plain_and_gzipped_archives():
 
 def test_assembly_through_chains_and_orphans(spark):
     rows = [
-        ("f", 1, "response", "<r1>", ["<q1>"]), ("f", 2, "request", "<q1>", []), ("f", 3, "metadata", "<m1>", ["<q1>"]), ("f", 4, "metadata", "<m2>", ["<m1>"]),
+        ("f", 1, "response", "<r1>", ["<q1>"]), ("f", 2, "request", "<q1>", []), ("f", 3, "metadata", "<m1>", ["<q1>"]), ("f", 4, "metadata", "<m2>", ["<m1>"]), *(("f", 10 + k, "metadata", f"<n{k}>", [f"<n{k - 1}>" if k else "<m2>"]) for k in range(6)), ("g", 3, "metadata", "<c1>", ["<c2>"]), ("g", 4, "metadata", "<c2>", ["<c1>"]),
         ("f", 5, "response", "<r2>", []), ("f", 6, "request", "<q2>", ["<r2>"]), ("g", 1, "metadata", "<m9>", ["<nowhere>"]), ("g", 2, "warcinfo", "<w>", []), ("h", 1, "response", "<r1>", ["<q3>"]), ("h", 2, "request", "<q3>", []),
     ]
     df = spark.createDataFrame(rows, "file string, at long, record_type string, record_id string, concurrent array<string>").withColumn("payload", F.lit(None).cast("binary"))
     got = {(r.capture.file, r.capture.at): (r.response and r.response.record_id, r.request and r.request.record_id, [m.record_id for m in r.metadata]) for r in W.assemble(df).collect()}
-    assert got == {("f", 1): ("<r1>", "<q1>", ["<m1>", "<m2>"]), ("f", 5): ("<r2>", "<q2>", []), ("g", 1): (None, None, ["<m9>"]), ("h", 1): ("<r1>", "<q3>", [])}
+    assert got == {("f", 1): ("<r1>", "<q1>", ["<m1>", "<m2>", *(f"<n{k}>" for k in range(6))]), ("f", 5): ("<r2>", "<q2>", []), ("g", 1): (None, None, ["<m9>"]), ("g", 3): (None, None, ["<c1>"]), ("g", 4): (None, None, ["<c2>"]), ("h", 1): ("<r1>", "<q3>", [])}
 
 
 def test_archives_round_trip(spark):
