@@ -8,7 +8,8 @@ repeated window stays, all others are removed: the lines covered by any of them
 Defined results: a null text stays null with no lines; an empty text has one blank line and stays; texts
 with fewer lines than a window are never changed; rows of one id and text count as one document, so neither
 holds repeats of the other; rows of one id (or none, which comes last) and different texts are ordered by a
-hash of the text; an empty table gives no rows. Other columns pass through unread.
+hash of the text; an empty table gives no rows. Other columns pass through unread, whatever their names, but for
+``_lines``, which is replaced.
 """
 
 from __future__ import annotations
@@ -66,16 +67,14 @@ def _without(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with repeated windows removed, then ``n_lines`` and ``n_removed`` in a struct ``_lines``."""
     small_batches(docs.sparkSession)
-    spans = later_spans(docs, window, id_col, text).withColumnsRenamed({"doc": "_doc", "tkey": "_tkey", "spans": "_spans"})
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(2**63 - 1))).join(spans, (F.col("_key") == F.col("_doc")) & (F.xxhash64(text) == F.col("_tkey")), "left")
+    spans = later_spans(docs, window, id_col, text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(id_col), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
+    joined = rows.join(spans, ["doc", "tkey"], "left")
     without = F.arrow_udf(_without, "struct<text: string, n: long>")
-    cut = without(F.when(F.col("_spans").isNotNull(), F.col(text)), F.col("_spans.a"), F.col("_spans.b"))
-    return (
-        joined.withColumn("_cut", cut)
-        .withColumn("_lines", F.struct(F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_cut.n", F.lit(0)).cast("long").alias("n_removed")))
-        .withColumn(text, F.coalesce("_cut.text", text))
-        .drop("_key", "_doc", "_tkey", "_spans", "_cut")
-    )
+    cut = without(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans.a"), F.col("spans.b"))
+    counts = F.struct(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("cut.n", F.lit(0)).cast("long").alias("n_removed")).alias("_lines")
+    kept = [(F.coalesce("cut.text", "text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c != "_lines"]
+    return joined.withColumn("cut", cut).select(*kept, counts)
 
 
 def op3_line_windows(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
-import duckdb
 import random
 
+import duckdb
+from pyspark.sql import functions as F
+
 from corpusloom.llm import lines as L
 
 
@@ -32,8 +34,12 @@ def brute(rows, n=3):
 
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_lines int, key string")
+    clash = dict.fromkeys(("_key", "_doc", "_tkey", "_spans", "_cut", "doc", "tkey", "row", "cut", "spans", "a.b"), 7)
+    df = df.withColumns({k: F.lit(v) for k, v in clash.items()})
     ORDER.update({r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()})
-    got = L.dedup_lines(df).selectExpr("doc_id", "_lines.n_lines n", "_lines.n_removed r", "text").collect()
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "_lines"] and out.where("_key <> 7 OR doc <> 7 OR spans <> 7 OR row <> 7 OR `a.b` <> 7").isEmpty()
+    got = out.selectExpr("doc_id", "_lines.n_lines n", "_lines.n_removed r", "text").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
