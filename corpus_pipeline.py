@@ -65,8 +65,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item aligns."""
-    leaks = written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    """Documents in which no benchmark item aligns; items too short to align tell nothing and remove none."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where(F.col("item_words") >= decontaminate.LEAST_WORDS)
+    leaks = written(leaks.select("doc", "tkey"), "leaks")
     return docs.join(_same_row(leaks), _is_row(), "left_anti")
 
 
