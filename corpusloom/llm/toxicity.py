@@ -1,16 +1,19 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 A text's terms are its words (ASCII letters and digits, lower-cased, and anything beyond ASCII), hashed to
-``BUCKETS``; those a chi-square test on the training rows finds most telling become binary features. The
-machine has a weight per feature and ``FACTORS`` latent factors, whose products are the weights of pairs:
-an insult beside a group mention counts for more than both alone, which additive weights can't express. It
-is fitted by Adagrad on at most ``SAMPLE`` labelled rows, those of the least hashed ids; rows with
-crc32(id) mod 5 = 0 are held out. Only a text decides its score; the score is the logistic of the machine.
+``BUCKETS`` binary features. The machine has a weight per feature and ``FACTORS`` latent factors, whose products are
+the weights of pairs: an insult beside a group mention counts for more than both alone, which additive weights can't
+express. All terms enter it: weights and factors are learned together by follow-the-regularized-leader, whose penalty
+leaves at rest those whose gradients don't add up to more than chance would (a term that tells nothing alone moves
+its factors all the same if its pairs do); what moved is then fitted again, without that penalty, by Adagrad. It
+is fitted on at most ``SAMPLE`` labelled rows, those of the least hashed ids; rows with crc32(id) mod 5 = 0 are held
+out. Only a text decides its score; the score is the logistic of the machine.
 
 Defined results: null and empty texts have no terms and get the score of the bias; long texts are used
 whole; equal texts have equal scores; null labels and null ids train nothing, and a null id isn't held
-out; with no labelled rows, or of one kind only, every score is the smoothed base rate; an empty table gives
-no rows.
+out; of rows that share an id and a label but not a text, the least term set trains; with no labelled rows, or of one
+kind only, every score is the smoothed base rate; a column ``_toxicity`` of the input is replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ from ._spark import small_batches, table
 BUCKETS = 1 << 18
 #: Most labelled rows the machine is fitted on, of about 2.5 kB each.
 SAMPLE = 20_000
-FEATURES, FACTORS, EPOCHS, BATCH = 2048, 8, 12, 64
+FACTORS, EPOCHS, BATCH = 8, 12, 64
 RATE, DECAY = 0.1, 2e-4
 #: Least updates, however few the rows.
 UPDATES = 2000
-#: Least training rows a term occurs in.
-LEAST_ROWS = 5
-#: Least chi-square (one degree of freedom) of a feature: one of 10,000 useless terms reaches it.
-LEAST_CHI = 15.0
+#: Of the first fit: rate, spread of the factors at the start, epochs, least updates.
+LEAD_RATE, LEAD_SPREAD, LEAD_EPOCHS, LEAD_UPDATES = 0.05, 0.01, 3, 200
+#: A weight (factor) stays at rest while its gradients' sum is below the first (second) number and ``CHANCE`` times the
+#: root of their squares' sum, times the root of the number of epochs.
+REST, FACTOR_REST, CHANCE = 10.0, 5.0, 1.5
 
 
 def term_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,19 +71,58 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, offsets), -30, 30)))
 
 
-def select(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Feature number of each bucket, -1 for those that tell nothing."""
-    row_y = np.repeat(y, np.diff(offsets))
-    n = np.bincount(flat, minlength=BUCKETS).astype(float)
-    a = np.bincount(flat, row_y, BUCKETS)
-    total, pos = len(y), y.sum()
-    expected = n * pos / total
-    spread = expected * (1 - pos / total) * (1 - n / total)
-    chi = np.where((n >= LEAST_ROWS) & (spread > 0), (np.abs(a - expected) - 0.5).clip(0) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    best = best[chi[best] >= LEAST_CHI]
+def _batch(cut: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the features of given rows, the row of each, and the rows' edges among them."""
+    n = cut[rows + 1] - cut[rows]
+    edges = np.r_[0, np.cumsum(n)]
+    return np.repeat(cut[rows] - edges[:-1], n) + np.arange(edges[-1]), np.repeat(np.arange(len(rows)), n), edges
+
+
+def telling(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Feature number of each bucket, -1 for those whose weight and factors never left their rest."""
+    used, f = np.unique(flat, return_inverse=True)
+    total, m, rng = len(y), len(used), np.random.default_rng(seed)
+    prior = (y.sum() + 0.5) / (total + 1)
+    bias, gb = float(np.log(prior / (1 - prior))), 1e-2
+    start = rng.normal(0, LEAD_SPREAD, (m, FACTORS))
+    w, v = np.zeros(m), start.copy()
+    zw, qw, zv, qv = np.zeros(m), np.zeros(m), np.zeros((m, FACTORS)), np.zeros((m, FACTORS))
+
+    def led(x, z, q, g, rest, chance):
+        """Sums of gradients and of squares after g, and the distance from the start that they lead to."""
+        z = z + g - (np.sqrt(q + g * g) - np.sqrt(q)) / LEAD_RATE * x
+        q = q + g * g
+        over = np.abs(z) - rest - chance * np.sqrt(q)
+        return z, q, np.where(over > 0, -np.sign(z) * over / ((1 + np.sqrt(q)) / LEAD_RATE + 1e-3), 0.0)
+
+    for epoch in range(max(LEAD_EPOCHS, -(-LEAD_UPDATES * BATCH // total))):
+        order = rng.permutation(total)
+        #: Each epoch repeats what chance did in the first.
+        chance = CHANCE * np.sqrt(epoch + 1)
+        for k in range(0, total, BATCH):
+            rows = order[k : k + BATCH]
+            at, own, edges = _batch(offsets, rows)
+            feat = f[at]
+            if not len(feat):
+                continue
+            held = v[feat]
+            upto = np.zeros((len(feat) + 1, FACTORS))
+            np.cumsum(held, axis=0, out=upto[1:])
+            sums = upto[edges[1:]] - upto[edges[:-1]]
+            value = bias + np.bincount(own, w[feat], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(own, (held**2).sum(1), len(rows)))
+            g = 1 / (1 + np.exp(-np.clip(value, -30, 30))) - y[rows]
+            by = np.argsort(feat, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(feat[by]) > 0])
+            t, own = feat[by][first], own[by]
+            zw[t], qw[t], w[t] = led(w[t], zw[t], qw[t], np.add.reduceat(g[own], first), REST, chance)
+            dv = np.add.reduceat(g[own, None] * (sums[own] - held[by]), first, axis=0)
+            zv[t], qv[t], moved = led(v[t] - start[t], zv[t], qv[t], dv, FACTOR_REST, chance)
+            v[t] = start[t] + moved
+            gb += float(g.sum()) ** 2
+            bias -= LEAD_RATE * float(g.sum()) / np.sqrt(gb)
+    kept = used[(w != 0) | (v != start).any(1)]
     slots = np.full(BUCKETS, -1, np.int32)
-    slots[best] = np.arange(len(best))
+    slots[kept] = np.arange(len(kept))
     return slots
 
 
@@ -90,7 +133,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 1) ->
     base = float(np.log(prior / (1 - prior)))
     if not 0 < pos < total:
         return Machine(base, np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
-    slots = select(flat, offsets, y)
+    slots = telling(flat, offsets, y, seed)
     f = slots[flat]
     keep = f >= 0
     cut = np.r_[0, np.cumsum(keep)][offsets]
@@ -103,9 +146,8 @@ def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 1) ->
         order = rng.permutation(total)
         for k in range(0, total, BATCH):
             rows = order[k : k + BATCH]
-            n = cut[rows + 1] - cut[rows]
-            at = np.repeat(cut[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-            own, feat = np.repeat(np.arange(len(rows)), n), f[at]
+            at, own, _ = _batch(cut, rows)
+            feat = f[at]
             sums = np.zeros((len(rows), FACTORS))
             np.add.at(sums, own, v[feat])
             squares = np.bincount(own, (v[feat] ** 2).sum(1), len(rows))
