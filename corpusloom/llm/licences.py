@@ -1,19 +1,24 @@
 """Licence scans with a generalised suffix automaton over the tokens of licence templates.
 
-The automaton holds every template. A text streams through it once and yields matching statistics: for
-each word, how many words ending there occur together in some template. Matches that nothing extends and
-of at least ``MIN_MATCH`` words are chained per template, in order in both, into covered template words;
-a template covered by ``MIN_COVER`` or more gives its label. Only places where ``MIN_MATCH`` consecutive
-words occur in a template can hold such a match, so vectorised hashes find them and the rest is skipped.
+The automaton holds every template (``licence_texts``: whole licences, notices, identification lines). A text
+streams through it once and yields matching statistics: for each word, the longest match ending there and, by
+suffix links, all shorter ones, so that every run of at least ``MIN_MATCH`` words common to text and template is
+known. Per template the runs are chained, in order in both with at most ``MAX_GAP`` words of text between two, into
+the most template words that can be covered so; runs that overlap a chain's end count for what is left of them.
+A template is found where its chain covers ``MIN_COVER`` of its words (of ``WHOLE`` words or fewer, all) and holds each
+of the parts that tell it from its likes in one run. Of templates found in one place, that which covers most words
+gives its label. Only places where ``MIN_MATCH`` consecutive words occur in a template can hold a run, so
+vectorised hashes find them and the rest is skipped.
 
 Words are runs of ASCII letters and digits, lower-cased, and of anything beyond ASCII.
 Defined results: null and empty texts have no words, empty labels, null places and score 0; texts are
-scanned whole; rows are independent, so repeated rows repeat; an empty table gives no rows.
+scanned whole; rows are independent, so repeated rows repeat; of templates that cover equally many words in one
+place the larger share and then the first in order counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -23,43 +28,17 @@ from pyspark.sql import DataFrame
 
 from . import _text as T
 from ._spark import small_batches, table
+from .licence_texts import TEMPLATES
 
-#: Shortest match, in words, that counts towards a template.
+#: Shortest run, in words, that counts towards a template.
 MIN_MATCH = 3
-#: Least covered share of a template's words for its label.
-MIN_COVER = 0.6
-#: Most words of a text between two chained matches.
+#: Least covered share of a template's words for its label; templates of so few words must be covered whole.
+MIN_COVER, WHOLE = 0.7, 6
+#: Most words of a text between two chained runs.
 MAX_GAP = 40
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    *((label, phrase) for phrase, label in BASE.items()),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "SPDX-License-Identifier: MIT"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "SPDX-License-Identifier: Apache-2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"),
-    ("gpl-3", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("gpl-2", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License"),
-    ("agpl-3", "under the terms of the GNU Affero General Public License"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc0", "CC0 1.0 Universal Public Domain Dedication"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-
 
 def words_of(text: str) -> list[str]:
     """Words of one text; batches use the vectorised kernel."""
@@ -134,10 +113,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: Sequence[tuple[str, str]], base: dict[str, str], least: int):
-        self.labels = [label for label, _ in templates]
-        tokens = [words_of(t) for _, t in templates]
+    def __init__(self, templates: Sequence[tuple[str, tuple[str, ...], str]], base: dict[str, str], least: int):
+        self.labels = [label for label, _, _ in templates]
+        tokens = [words_of(t) for _, _, t in templates]
         self.sizes = [len(t) for t in tokens]
+        #: Places in its template of each part that a run must hold: [from, to) for every occurrence.
+        self.telling = [[_places(t, words_of(part)) for part in parts] for t, (_, parts, _) in zip(tokens, templates)]
         self.least = least
         names = sorted({w for t in tokens for w in t} | {w for p in base for w in p.split()})
         data, offsets = T.flat(pa.array(names, pa.string()))
@@ -162,17 +143,45 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ids[at], -1)
 
-    def chains(self, ids: Sequence[int]) -> dict[int, int]:
-        """Per template, the most of its words that ordered matches in one stretch of words cover."""
+    def runs(self, ids: Sequence[int]) -> dict[int, list[tuple[int, int, int]]]:
+        """Per template, all longest runs (text place, template place, words) that it has in common with a stretch of words."""
         lengths, states = self.automaton.stream(ids)
+        places, link, longest = self.automaton.places, self.automaton.link, self.automaton.length
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, n in enumerate(lengths):
-            if n >= self.least and (i + 1 == len(lengths) or lengths[i + 1] <= n):
-                for no, end in self.automaton.places[states[i]]:
-                    found.setdefault(no, []).append((i - n + 1, end - n + 1, n))
-        return {no: _chain(matches) for no, matches in found.items()}
-
-    def scan(self, ids: np.ndarray) -> tuple[int, int | None, int | None, str, str, float]:
+        for i, (n, v) in enumerate(zip(lengths, states)):
+            after = ids[i + 1] if i + 1 < len(ids) else -1
+            seen: set[tuple[int, int]] = set()
+            while v and n >= self.least:
+                for place in places[v]:
+                    if place in seen:
+                        continue
+                    seen.add(place)
+                    no, end = place
+                    if end + 1 == self.sizes[no] or self.sequences[no][end + 1] != after:
+                        found.setdefault(no, []).append((i - n + 1, end - n + 1, n))
+                v = link[v]
+                n = longest[v]
+        return found
+
+    def spans(self, ids: Sequence[int]) -> tuple[list[tuple[int, int, int, int]], float]:
+        """(template, first word, end, covered words) of each place's best template in a stretch, and the greatest share covered."""
+        found, top = [], 0.0
+        for no, runs in self.runs(ids).items():
+            covered, chain = best_chain(runs)
+            size = self.sizes[no]
+            top = max(top, covered / size)
+            if covered < (size if size <= WHOLE else MIN_COVER * size):
+                continue
+            if all(any(t <= x and y <= t + n for x, y in part for _, t, n in chain) for part in self.telling[no]):
+                found.append((no, chain[0][0], chain[-1][0] + chain[-1][2], covered))
+        found.sort(key=lambda f: (-f[3], -f[3] / self.sizes[f[0]], f[0]))
+        kept: list[tuple[int, int, int, int]] = []
+        for f in found:
+            if all(2 * (min(f[2], k[2]) - max(f[1], k[1])) < f[2] - f[1] for k in kept):
+                kept.append(f)
+        return sorted(kept, key=lambda f: f[1:]), top
+
+    def scan(self, ids: np.ndarray) -> tuple[int, int | None, int | None, str, str, float, list[dict]]:
         """One text's result from its word numbers."""
         base, n_base, first, last = set(), 0, None, None
         n = len(ids)
@@ -188,7 +197,7 @@ class Scanner:
                     n_base += len(at)
                     first = int(at[0]) if first is None else min(first, int(at[0]))
                     last = int(at[-1]) if last is None else max(last, int(at[-1]))
-        best: dict[str, float] = {label: 1.0 for label in base}
+        labels, spans = set(base), []
         score = 1.0 if base else 0.0
         k = self.least
         if n >= k:
@@ -198,12 +207,17 @@ class Scanner:
             at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
             hits = np.flatnonzero(self.grams[at] == code)
             for a, b in _stretches(hits, k):
-                for no, covered in self.chains(ids[a:b].tolist()).items():
-                    share = covered / self.sizes[no]
-                    score = max(score, share)
-                    if share >= MIN_COVER:
-                        best[self.labels[no]] = max(share, best.get(self.labels[no], 0.0))
-        return n_base, first, last, ",".join(sorted(base)), ",".join(sorted(best)), min(1.0, score)
+                got, share = self.spans(ids[a:b].tolist())
+                score = max(score, share)
+                for no, first_word, end, covered in got:
+                    labels.add(self.labels[no])
+                    spans.append({"label": self.labels[no], "first_word": a + first_word, "n_words": end - first_word, "share": covered / self.sizes[no]})
+        return n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(1.0, score), spans
+
+
+def _places(words: list[str], part: list[str]) -> list[tuple[int, int]]:
+    """[from, to) of each occurrence of ``part``."""
+    return [(i, i + len(part)) for i in range(len(words) - len(part) + 1) if words[i : i + len(part)] == part]
 
 
 def _stretches(hits: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
@@ -215,39 +229,42 @@ def _stretches(hits: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
         yield int(hits[a]), int(hits[b]) + k
 
 
-def _chain(matches: list[tuple[int, int, int]]) -> int:
-    """Most template words covered by matches that advance in text and template alike.
+def best_chain(runs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Most template words that runs cover in order, in text and template alike, and the runs so chained, cut to what they add.
 
-    Overlaps count once. The best chain ending at or before a template word is kept in order, so that
-    n matches take O(n log n).
+    A run that follows another loses the words at its start that the other has passed in text or template; between
+    two, at most ``MAX_GAP`` words of text are left out. All predecessors that end within that reach of a run's
+    start, or later, are tried, so no chain of this kind covers more.
     """
-    best_total = 0
-    ends: list[int] = []
-    totals: list[tuple[int, int]] = []
-    for a, t, n in sorted(matches):
-        total = n
-        i = bisect.bisect_right(ends, t) - 1
-        if i >= 0 and a - totals[i][1] <= MAX_GAP:
-            total += totals[i][0]
-        best_total = max(best_total, total)
-        end = t + n
-        j = bisect.bisect_left(ends, end)
-        if j < len(ends) and ends[j] == end:
-            if totals[j][0] <= total:
-                totals[j] = (total, a + n)
-        else:
-            ends.insert(j, end)
-            totals.insert(j, (total, a + n))
-    return best_total
+    order = sorted(runs, key=lambda r: (r[0] + r[2], r[1] + r[2], -r[2]))
+    ends = [a + n for a, _, n in order]
+    totals, before = [], []
+    for j, (a, t, n) in enumerate(order):
+        total, link = n, (-1, 0)
+        for i in range(bisect_left(ends, a - MAX_GAP), j):
+            b, u, m = order[i]
+            cut = max(0, b + m - a, u + m - t)
+            if cut < n and a + cut - b - m <= MAX_GAP and totals[i] + n - cut > total:
+                total, link = totals[i] + n - cut, (i, cut)
+        totals.append(total)
+        before.append(link)
+    j = max(range(len(order)), key=lambda k: (totals[k], -k))
+    best, chain = totals[j], []
+    while j >= 0:
+        i, cut = before[j]
+        a, t, n = order[j]
+        chain.append((a + cut, t + cut, n - cut))
+        j = i
+    return best, chain[::-1]
 
 
 @lru_cache(maxsize=4)
-def scanner(templates: tuple[tuple[str, str], ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = tuple(BASE.items()), least: int = MIN_MATCH) -> Scanner:
+def scanner(templates: tuple[tuple[str, tuple[str, ...], str], ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = tuple(BASE.items()), least: int = MIN_MATCH) -> Scanner:
     return Scanner(templates, dict(base), least)
 
 
-def scan_licences(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: words, places of the base phrases, base labels, all labels, and the best covered share."""
+def scan_licences(df: DataFrame, templates: tuple[tuple[str, tuple[str, ...], str], ...] = TEMPLATES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Per row: words, places of the base phrases, base labels, all labels, the best covered share, and the spans found."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,14 +276,15 @@ def scan_licences(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
                 ids = scan.token_ids(T.span_hashes(data, s, e))
                 n_words += np.diff(w).tolist()
                 rows += [scan.scan(ids[w[i] : w[i + 1]]) for i in range(len(w) - 1)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("share", pa.float64())])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(span)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first_word: bigint, n_words: bigint, share: double>>")
 
 
 def op8_licence_automaton(spark, sf_dir: str) -> DataFrame:
-    return scan_licences(table(spark, sf_dir, "documents"))
+    return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
