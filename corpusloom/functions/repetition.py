@@ -15,8 +15,8 @@ def field_names(num_top: int, num_dup: int) -> list[str]:
 
 
 def _check(num_top: int, num_dup: int) -> None:
-    if num_top < 0 or num_dup < 1:
-        raise ValueError("num_top must be at least 0 and num_dup at least 1")
+    if num_top < 0 or num_dup < 0:
+        raise ValueError("num_top and num_dup must be at least 0")
     if num_top > num_dup:
         raise ValueError("num_top can't exceed num_dup")
 
@@ -64,9 +64,11 @@ def repetition_signals(expr: Column | str, *, tokenizer_pattern: str = WORD, num
 
     ``top_n``: the largest share of token characters that the occurrences of one n-gram make up.
     ``dup_n``: the share of token characters in n-grams seen before. Null text gives null fields, text
-    without tokens zeros.
+    without tokens zeros. With ``num_dup=0`` the struct has no fields.
     """
     _check(num_top, num_dup)
+    if not num_dup:
+        return F.struct()
     names = field_names(num_top, num_dup)
 
     def signals(words: pa.Array) -> pa.Array:

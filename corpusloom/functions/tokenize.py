@@ -21,10 +21,22 @@ def _from_file(path: str, changed: float):
 
 
 @lru_cache(maxsize=8)
-def _from_json(payload: str):
+def _from_json(written: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(payload)
+    return Tokenizer.from_str(written)
+
+
+def from_path(path: str):
+    """The tokenizer of a file, read once per worker and change."""
+    place = resolve(path)
+    return _from_file(place, os.path.getmtime(place))
+
+
+def ids_of(own, rows: list[str | None]) -> pa.Array:
+    """Ids of each text without special tokens."""
+    found = iter(own.encode_batch_fast([t for t in rows if t is not None], add_special_tokens=False))
+    return pa.array([None if t is None else next(found).ids for t in rows], pa.list_(pa.int64()))
 
 
 def tokenize(expr: Column | str, *, tokenizer) -> Column:
@@ -34,17 +46,12 @@ def tokenize(expr: Column | str, *, tokenizer) -> Column:
     """
     from tokenizers import Tokenizer
 
-    if isinstance(tokenizer, Tokenizer):
-        payload, is_path = tokenizer.to_str(), False
-    elif isinstance(tokenizer, str):
-        payload, is_path = tokenizer, True
-    else:
+    if not isinstance(tokenizer, (Tokenizer, str)):
         raise ValueError(f"tokenizer must be a path or a Tokenizer, not {type(tokenizer)}")
+    written = None if isinstance(tokenizer, str) else tokenizer.to_str()
+    path = tokenizer if written is None else None
 
     def encode(text: pa.Array) -> pa.Array:
-        own = _from_file(place := resolve(payload), os.path.getmtime(place)) if is_path else _from_json(payload)
-        rows = text.to_pylist()
-        found = iter(own.encode_batch_fast([t for t in rows if t is not None], add_special_tokens=False))
-        return pa.array([None if t is None else next(found).ids for t in rows], pa.list_(pa.int64()))
+        return ids_of(from_path(path) if written is None else _from_json(written), text.to_pylist())
 
     return F.arrow_udf(encode, "array<bigint>")(columns(expr))

@@ -73,15 +73,37 @@ s AS (SELECT doc_id, sum(d) d FROM t JOIN w ON w.w = t.w GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN coalesce(s.d, 0) + 1 >= 0 THEN '__label__en' ELSE '__label__de' END AS top_label, true AS top_leads, true AS total_is_one FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+def fasttext_scores() -> str:
+    weights = ", ".join(f"('{w}', {a}, {b})" for w, (a, b) in WEIGHTS.items() if w != "</s>")
+    a, b = WEIGHTS["</s>"]
+    return f"""WITH w(w, a, b) AS (VALUES {weights}),
+t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n\\r\\t\\v\\f]+')) w FROM documents),
+s AS (SELECT doc_id, sum(a) a, sum(b) b, count(*) n FROM t JOIN w ON w.w = t.w GROUP BY doc_id),
+m AS (SELECT d.doc_id, 1 / (1 + exp((coalesce(b, 0) + {b} - coalesce(a, 0) - {a})::DOUBLE / (coalesce(n, 0) + 1))) p FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)
+SELECT doc_id, round(greatest(p, 1 - p) + 1e-5, 3) AS top_score, round(p + 1e-5, 3) AS en, round(1 - p + 1e-5, 3) AS de FROM m"""
+
+
+def minhash_shape() -> str:
+    grams = "list_sort(list_distinct(list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i + 4], ' '))))"
+    return f"""WITH {TOKENS}, g AS (SELECT doc_id, len(toks) < 5 short, CASE WHEN len(toks) < 5 THEN [] ELSE {grams} END grams FROM t)
+SELECT doc_id, true AS is_hex, short AS is_constant, min(doc_id) OVER (PARTITION BY grams) AS first_alike FROM g"""
+
+
 _SCRIPT = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s]+"
-_EMPTY = "76e8f1cf2904c31a3670d5180e381a96"
 ORACLES = {
     "repetition_signals": repetition(),
     "repetition_top_only": repetition(3, 3),
     "repetition_dup_only": repetition(0, 3),
     "minhash_md5": minhash(14, 8, 5, "SELECT doc_id, string_agg(b, '' ORDER BY no) AS minhash FROM q GROUP BY doc_id"),
     "minhash_buckets": minhash(4, 2, 5, "SELECT doc_id, " + ", ".join(f"max(b) FILTER (WHERE no = {k}) AS bucket_{k}" for k in range(4)) + " FROM q GROUP BY doc_id"),
-    "minhash_sentinel": f"SELECT doc_id, repeat('{_EMPTY}', 14) AS minhash, repeat('f', 224) AS minhash_raw FROM documents WHERE len(regexp_extract_all(text, '{W}')) < 5",
+    "minhash_shape": minhash_shape(),
+    "stored_sizes": "SELECT doc_id, n + 5 * (n // 32768 + 1) - 2 AS size, round((n::FLOAT / (n + 5 * (n // 32768 + 1) - 2)::FLOAT), 4) AS ratio FROM (SELECT doc_id, strlen(text) n FROM documents)",
+    "deflated_bounds": "SELECT doc_id, true AS not_above, true AS not_below, true AS ratio_fits FROM documents",
+    "namespace_methods": f"SELECT s.doc_id, len(regexp_extract_all(d.text, '{W}'))::BIGINT AS n_tokens, s.text, r.top_1_gram_char_ratio FROM ({scrub()}) s JOIN ({repetition(1, 1)}) r ON r.doc_id = s.doc_id JOIN documents d ON d.doc_id = s.doc_id",
+    "streamed_signals": f"SELECT s.doc_id, len(regexp_extract_all(d.text, '{W}'))::BIGINT AS n_tokens, s.text FROM ({scrub()}) s JOIN documents d ON d.doc_id = s.doc_id",
+    "many_signals": f"SELECT s.doc_id, len(regexp_extract_all(d.text, '{W}'))::BIGINT AS n_tokens, s.text AS scrubbed, regexp_replace(regexp_replace(d.text, '{_SCRIPT}', ' ', 'g'), '[\\t\\f\\r \\x0b]+', ' ', 'g') AS normalized FROM ({scrub()}) s JOIN documents d ON d.doc_id = s.doc_id",
+    "repeated_text_leads": "SELECT 10::BIGINT AS n_signals, true AS repeated_leads",
+    "fasttext_scores": fasttext_scores(),
     "random_columns": "SELECT doc_id, true AS byte_in_range, true AS uuid_valid FROM documents",
     "scrub": scrub(),
     "scrub_native": scrub(),
@@ -91,3 +113,6 @@ ORACLES = {
     "normalize": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '{_SCRIPT}', ' ', 'g'), '\\n', ' ', 'g'), '[\\t\\f\\r \\x0b]+', ' ', 'g') AS text FROM documents",
     "normalize_partial": f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_SCRIPT}', ' ', 'g'), '[\\t\\f\\r \\x0b]+', ' ', 'g') AS text FROM documents",
 }
+ORACLES["sql_functions"] = f"""SELECT s.doc_id, len(regexp_extract_all(d.text, '{W}'))::INTEGER AS n_tokens, s.text, n.text AS normalized, t.ids, f.top_label, r.top_1_gram_char_ratio, 448::INTEGER AS n_digits, true AS has_size, true AS drawn
+FROM ({scrub()}) s JOIN documents d ON d.doc_id = s.doc_id JOIN ({ORACLES["normalize"]}) n ON n.doc_id = s.doc_id JOIN ({tokenize()}) t ON t.doc_id = s.doc_id
+JOIN ({fasttext()}) f ON f.doc_id = s.doc_id JOIN ({repetition(1, 1)}) r ON r.doc_id = s.doc_id"""

@@ -5,14 +5,17 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions.fasttext import EOS, MAGIC, SOFTMAX
-from ..operators import bucket_columns, spread, unnest
-from ..sources import read_table, ship_file
+from ..namespace import register_namespace, register_sql
+from ..operators import bucket_columns, columns_ending, maxima_at, spread, unnest, with_signals
+from ..sources import from_rows, read_table, ship_file
+from ..streaming import stream_signals
 
 SCRUB = [r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9]+"]
 #: A fixed vocabulary for the tokenizer query.
@@ -44,9 +47,77 @@ def minhash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_columns(signed, "minhash", 4).drop("minhash")
 
 
-def minhash_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = documents(spark, sf_dir).where(F.size(fn.tokens("text")) < 5)
-    return short.select("doc_id", fn.minhash("text").alias("minhash"), fn.minhash("text", bsize=1).alias("minhash_raw"))
+def minhash_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every signature whatever its permutations: its form, the constant of short texts, and that texts of equal shingle sets share it."""
+    signed = documents(spark, sf_dir).select("doc_id", fn.minhash("text").alias("m"), fn.minhash("text", bsize=1).alias("raw"), (F.size(fn.tokens("text")) < 5).alias("short"))
+    first = signed.groupBy("m").agg(F.min("doc_id").alias("first_alike"))
+    digits = lambda c, n: F.col(c).rlike(f"^[0-9a-f]{{{n}}}$")
+    return signed.join(first, "m").select("doc_id", (digits("m", 448) & digits("raw", 224)).alias("is_hex"), (F.col("raw") == "f" * 224).alias("is_constant"), "first_alike")
+
+
+def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 0 stores the bytes in blocks, so sizes and ratios are known exactly."""
+    return documents(spark, sf_dir).select("doc_id", fn.compressed_size("text", level=0).alias("size"), F.round(fn.compression_ratio("text", level=0), 4).alias("ratio"))
+
+
+def deflated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default level: no longer than stored, not beyond deflate's best, and the ratio is bytes by size."""
+    n, size = F.octet_length("text"), F.col("size")
+    sized = documents(spark, sf_dir).select("doc_id", "text", fn.compressed_size("text").alias("size"), fn.compression_ratio("text").alias("ratio"))
+    return sized.select("doc_id", (size <= n + 8).alias("not_above"), (size * 1032 >= n - 1032).alias("not_below"), (F.abs(F.col("ratio") - n / size) <= 1e-5 * n / size).alias("ratio_fits"))
+
+
+def namespace_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method-style access."""
+    register_namespace()
+    text = F.col("text").textproc
+    return documents(spark, sf_dir).select("doc_id", F.size(text.tokens()).cast("long").alias("n_tokens"), text.scrub(patterns=SCRUB).alias("text"), text.repetition_signals(num_top=1, num_dup=1).getField("top_1_gram_char_ratio").alias("top_1_gram_char_ratio"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All functions by their SQL names, with the tokenizer and the model of the other queries."""
+    register_sql(spark, "textproc_")
+    model = _shipped(spark, "words.bin", lambda path: write_model(path, WEIGHTS, LABELS))
+    own = _shipped(spark, "words.json", lambda path: word_level().save(path))
+    patterns = ", ".join("r'" + p + "'" for p in SCRUB)
+    documents(spark, sf_dir).createOrReplaceTempView("corpusloom_documents")
+    return spark.sql(
+        f"""SELECT doc_id, cardinality(textproc_text_tokens(text)) AS n_tokens, textproc_scrub(text, array({patterns})) AS text,
+        textproc_normalize(text, 'NFC', true, true, true, true) AS normalized, concat_ws(' ', CAST(textproc_tokenize(text, '{own}') AS ARRAY<STRING>)) AS ids,
+        textproc_fasttext(text, '{model}', array({", ".join(f"'{x}'" for x in LABELS)})).top_label AS top_label, textproc_repetition_signals(text).top_1_gram_char_ratio AS top_1_gram_char_ratio,
+        length(textproc_minhash(text)) AS n_digits, textproc_compressed_size(text) > 0 AND textproc_compression_ratio(text) > 0 AS has_size,
+        textproc_samplebyte() BETWEEN 1 AND 64 AND length(textproc_uuid4()) = 32 AS drawn FROM corpusloom_documents"""
+    )
+
+
+def streamed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of files, and what its sink holds when all have been read."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    signals = {"n_tokens": F.size(fn.tokens("text")).cast("long"), "scrubbed": fn.scrub("text", patterns=SCRUB)}
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    #: A stream reads folders; a table of one file is that file of its folder.
+    one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    source, names = (sf_dir, "documents.parquet") if one else (f"{sf_dir}/documents.parquet", None)
+    stream_signals(spark, source, schema, f"{folder}/sink", f"{folder}/checkpoint", signals, names=names).awaitTermination()
+    return spark.read.schema(f"{schema}, n_tokens long, scrubbed string").parquet(f"{folder}/sink").select("doc_id", "n_tokens", F.col("scrubbed").alias("text"))
+
+
+def many_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several signals in one pass."""
+    signals = {"n_tokens": F.size(fn.tokens("text")).cast("long"), "scrubbed": fn.scrub("text", patterns=SCRUB), "normalized": fn.normalize("text", only_script=True, contract_whitespace=True)}
+    return with_signals(documents(spark, sf_dir), **signals).drop("text")
+
+
+def repeated_text_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in memory: every repetition signal is greatest where one sentence stands ten times."""
+    sentence = "A small boat left the harbour before the rain began. "
+    texts = ["The gardener planted rows of beans beside the old stone wall.", "Vinden drog in från havet och lyfte löven över taken.", None, sentence, sentence * 10]
+    rows = from_rows(spark, {"num": range(len(texts)), "text": texts}, "num long, text string")
+    wide = unnest(rows.select("num", fn.repetition_signals("text").alias("repetition")), "repetition")
+    names = columns_ending(wide, "gram_char_ratio")
+    return spark.createDataFrame([(len(names), maxima_at(wide, names, F.col("num") == 4))], "n_signals long, repeated_leads boolean")
 
 
 def random_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +146,28 @@ def write_model(path: str, weights: dict[str, tuple[float, ...]], labels: list[s
         f.write(b"".join(out))
 
 
+LABELS = ["__label__en", "__label__de"]
+
+
+def _shipped(spark: SparkSession, name: str, write) -> str:
+    """A small file made at the driver and sent to all executors."""
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-model-"), f"{uuid.uuid4().hex}-{name}")
+    write(path)
+    return ship_file(spark, path)
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _shipped(spark, "words.bin", lambda path: write_model(path, WEIGHTS, LABELS))
+    return documents(spark, sf_dir).select("doc_id", fn.fasttext("text", path=name, labels=LABELS, output_scores=True).alias("langid"))
+
+
 def fasttext_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = ["__label__en", "__label__de"]
-    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-model-"), f"words-{os.getpid()}.bin")
-    write_model(path, WEIGHTS, labels)
-    name = ship_file(spark, path)
-    found = documents(spark, sf_dir).select("doc_id", fn.fasttext("text", path=name, labels=labels).alias("langid"))
-    return found.select("doc_id", "langid.top_label", F.col("langid.top_score").between(0.5, 1.0001).alias("top_leads"), F.col("langid.total_score").between(0.999, 1.001).alias("total_is_one"))
+    return _classified(spark, sf_dir).select("doc_id", "langid.top_label", F.col("langid.top_score").between(0.5, 1.0001).alias("top_leads"), F.col("langid.total_score").between(0.999, 1.001).alias("total_is_one"))
+
+
+def fasttext_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = lambda name: F.round(F.col(f"langid.{name}").cast("double"), 3)
+    return _classified(spark, sf_dir).select("doc_id", score("top_score").alias("top_score"), *[score(x).alias(x[9:]) for x in LABELS])
 
 
 QUERIES = {
@@ -91,13 +177,21 @@ QUERIES = {
     "minhash": _simple("minhash", lambda: fn.minhash("text")),
     "minhash_md5": _simple("minhash", lambda: fn.minhash("text", hash_family="md5")),
     "minhash_buckets": minhash_buckets,
-    "minhash_sentinel": minhash_sentinel,
+    "minhash_shape": minhash_shape,
     "compressed_size": _simple("compressed_size", lambda: fn.compressed_size("text")),
     "compression_ratio": _simple("compression_ratio", lambda: fn.compression_ratio("text")),
+    "stored_sizes": stored_sizes,
+    "deflated_bounds": deflated_bounds,
     "random_columns": random_columns,
+    "namespace_methods": namespace_methods,
+    "sql_functions": sql_functions,
+    "streamed_signals": streamed_signals,
+    "many_signals": many_signals,
+    "repeated_text_leads": repeated_text_leads,
     "scrub": _simple("text", lambda: fn.scrub("text", patterns=SCRUB)),
     "scrub_native": _simple("text", lambda: fn.scrub_native("text", patterns=SCRUB)),
     "fasttext": fasttext_labels,
+    "fasttext_scores": fasttext_scores,
     "tokenize": _simple("ids", lambda: F.concat_ws(" ", fn.tokenize("text", tokenizer=word_level()).cast("array<string>"))),
     "tokens": _simple("tokens", lambda: F.concat_ws("|", fn.tokens("text"))),
     "normalize": _simple("text", lambda: fn.normalize("text", contract_whitespace=True, remove_newlines=True, only_script=True, lowercase=True, form="NFC")),

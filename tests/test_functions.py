@@ -63,7 +63,8 @@ def test_repetition_columns(spark):
     assert list(r[2].asDict()) == field_names(4, 10)
     assert all(v is None for v in r[0]) and all(v == 0 for v in r[1]) and r[2].top_1_gram_char_ratio == 1.0 and r[11].dup_10_gram_char_ratio > 0.99
     assert len(column(spark, fn.repetition_signals("text", num_top=2, num_dup=3))[0]) == 3
-    for bad in ({"num_top": 5, "num_dup": 4}, {"num_top": 0, "num_dup": 0}):
+    assert spark.range(2).select(fn.repetition_signals(F.lit("a"), num_top=0, num_dup=0).alias("r")).collect() == [((),), ((),)]
+    for bad in ({"num_top": 5, "num_dup": 4}, {"num_top": 1, "num_dup": 0}, {"num_top": 0, "num_dup": -1}):
         with pytest.raises(ValueError):
             fn.repetition_signals("text", **bad)
 
@@ -276,7 +277,7 @@ def test_namespace_and_sql(spark):
     names = namespace.register_sql(spark, "tp_")
     df.createOrReplaceTempView("some_texts")
     r = spark.sql("select tp_repetition_signals(text).top_1_gram_char_ratio x, tp_minhash(text) m, tp_compressed_size(text) c, tp_compression_ratio(text) q, tp_text_tokens(text) t, tp_uuid4() u, tp_samplebyte() b from some_texts order by id").collect()
-    assert len(names) == 7 and r[0].x is None and r[1].x == 0.5 and r[1].c > 0 and r[1].q > 0 and r[1].t == list("AbAbAb") and len(r[0].u) == 32 and 1 <= r[0].b <= 64
+    assert len(names) == 11 and r[0].x is None and r[1].x == 0.5 and r[1].c > 0 and r[1].q > 0 and r[1].t == list("AbAbAb") and len(r[0].u) == 32 and 1 <= r[0].b <= 64
     assert r[1].m == df.where("id = 1").select(fn.minhash("text").alias("m")).first().m
 
 
