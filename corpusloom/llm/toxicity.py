@@ -35,8 +35,8 @@ FACTORS, EPOCHS, BATCH = 8, 12, 64
 RATE, DECAY = 0.1, 2e-4
 #: Least updates, however few the rows.
 UPDATES = 2000
-#: Of the first fit: rate, spread of the factors at the start, epochs, least updates.
-LEAD_RATE, LEAD_SPREAD, LEAD_EPOCHS, LEAD_UPDATES = 0.05, 0.01, 3, 200
+#: Of the first fit: rate, spread of the factors at the start, epochs, and least updates, but in no more epochs than the last.
+LEAD_RATE, LEAD_SPREAD, LEAD_EPOCHS, LEAD_UPDATES, LEAD_MOST = 0.05, 0.01, 3, 200, 25
 #: A weight (factor) stays at rest while its gradients' sum is below the first (second) number and ``CHANCE`` times the
 #: root of their squares' sum, times the root of the number of epochs.
 REST, FACTOR_REST, CHANCE = 10.0, 5.0, 1.5
@@ -95,7 +95,7 @@ def telling(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 1)
         over = np.abs(z) - rest - chance * np.sqrt(q)
         return z, q, np.where(over > 0, -np.sign(z) * over / ((1 + np.sqrt(q)) / LEAD_RATE + 1e-3), 0.0)
 
-    for epoch in range(max(LEAD_EPOCHS, -(-LEAD_UPDATES * BATCH // total))):
+    for epoch in range(max(LEAD_EPOCHS, min(LEAD_MOST, -(-LEAD_UPDATES * BATCH // total)))):
         order = rng.permutation(total)
         #: Each epoch repeats what chance did in the first.
         chance = CHANCE * np.sqrt(epoch + 1)
