@@ -34,6 +34,14 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(4096)
 
 
+def powers(n: int) -> np.ndarray:
+    """At least n powers of the base, kept for the next call."""
+    global _POW
+    if n > len(_POW):
+        _POW = _powers(1 << n.bit_length())
+    return _POW
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))
@@ -85,18 +93,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = SPAC
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of non-empty byte spans; ``fold`` lower-cases A-Z."""
-    global _POW
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    longest = int(lens.max())
-    if longest > len(_POW):
-        _POW = _powers(1 << longest.bit_length())
     before = np.zeros(len(lens), np.int64)
     np.cumsum(lens[:-1], out=before[1:])
     pos = np.arange(int(lens.sum())) - np.repeat(before, lens)
     codes = (_FOLDED_CODES if fold else _BYTE_CODES)[data[pos + np.repeat(starts, lens)]]
-    codes *= _POW[pos]
+    codes *= powers(int(lens.max()))[pos]
     return mix(np.add.reduceat(codes, before) + lens.astype(np.uint64))
 
 

@@ -59,13 +59,18 @@ _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
 
 
-def word_numbers(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A number below 2^31 - 1 of each word, simple enough for SQL: bytes, weighted by place modulo 64, summed up."""
+def word_values(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the hash that ``span_hashes`` gives, and a number below 2^31 - 1 that SQL can compute: bytes, weighted by place modulo 64, summed up."""
     if not len(s):
-        return np.zeros(0, np.int64)
-    before = np.r_[0, np.cumsum(e - s)[:-1]]
-    at = np.arange(int((e - s).sum())) - np.repeat(before, e - s)
-    return np.add.reduceat(_FOLD[data[at + np.repeat(s, e - s)]] * _WEIGHTS[at & 63], before) % _SPREAD
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = e - s
+    before = np.r_[0, np.cumsum(size)[:-1]]
+    own = data[T.SPACED[data]]
+    at = np.arange(len(own)) - np.repeat(before, size)
+    number = np.add.reduceat(_FOLD[own] * _WEIGHTS[at & 63], before) % _SPREAD
+    codes = T._FOLDED_CODES[own]
+    codes *= T.powers(int(size.max()))[at]
+    return T.mix(np.add.reduceat(codes, before) + size.astype(np.uint64)), number
 
 
 def anchors(numbers: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -151,8 +156,8 @@ def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         for batch in batches:
             for i, _, data, offsets in T.chunks(batch.column(1)):
                 s, e, w = T.word_bounds(data, offsets)
-                words = T.span_hashes(data, s, e)
-                at = anchors(word_numbers(data, s, e), w)
+                words, numbers = word_values(data, s, e)
+                at = anchors(numbers, w)
                 yield rows(batch, i, w, at, np.full(len(at), WORDS), (runs_of(words, WORDS)[at] >> np.uint64(1)).astype(np.int64), pa.nulls(len(at), pa.binary()))
                 first, size = lines(data, offsets, s)
                 flat, cut = sets_cut(words, first, size)
@@ -289,31 +294,33 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 PASSAGE = "doc long, tkey long, first_word int, n_words int, n_removed int, class_doc long, class_word int, copies long, removed array<struct<a:int,b:int>>"
 
 
+def _together(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each run of overlapping or touching stretches [a, b) of one text, given in order of texts and starts, and the runs' ends."""
+    upto = np.maximum.accumulate((text << 40) + b)
+    first = np.flatnonzero(np.r_[True, (text[1:] << 40) + a[1:] > upto[:-1]]) if len(a) else np.zeros(0, np.int64)
+    return first, upto[np.r_[first[1:], len(a)][: len(first)] - 1] - (text[first] << 40)
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages of each text from its sorted paragraphs."""
     for batch in batches:
-        out = []
-        for doc, tkey, units in zip(*(c.to_pylist() for c in batch.columns)):
-            held: list = []
-            for u in units:
-                a, b = u["word"], u["word"] + u["n"]
-                if held and a <= held[-1][3]:
-                    held[-1][3] = max(b, held[-1][3])
-                else:
-                    held.append([doc, tkey, a, b, 0, u["first"]["doc"], u["first"]["word"], u["copies"], []])
-                cut = held[-1][8]
-                if u["gone"]:
-                    if cut and a <= cut[-1]["b"]:
-                        cut[-1]["b"] = max(b, cut[-1]["b"])
-                    else:
-                        cut.append({"a": a, "b": b})
-            for h in held:
-                h[4] = sum(c["b"] - c["a"] for c in h[8])
-                h[3] -= h[2]
-            out += held
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
+        units = batch.column(2)
+        flat = units.flatten()
+        text = np.repeat(np.arange(len(units)), np.diff(units.offsets.to_numpy()))
+        a = flat.field("word").to_numpy().astype(np.int64)
+        b = a + flat.field("n").to_numpy()
+        first, ends = _together(text, a, b)
+        gone = np.flatnonzero(flat.field("gone").to_numpy(zero_copy_only=False))
+        cut, cut_ends = _together(text[gone], a[gone], b[gone])
+        cut_from = a[gone][cut]
+        owner = np.searchsorted(first, gone[cut], "right") - 1
+        spans = pa.StructArray.from_arrays([pa.array(cut_from.astype(np.int32)), pa.array(cut_ends.astype(np.int32))], ["a", "b"])
+        lists_of = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first) + 1)).astype(np.int32)), spans)
+        removed = np.bincount(owner, cut_ends - cut_from, len(first)).astype(np.int32)
+        own, at = pa.array(text[first]), pa.array(first)
+        of = flat.field("first")
         names = ["doc", "tkey", "first_word", "n_words", "n_removed", "class_doc", "class_word", "copies", "removed"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(a[first].astype(np.int32)), pa.array((ends - a[first]).astype(np.int32)), pa.array(removed), of.field("doc").take(at), of.field("word").take(at), flat.field("copies").take(at), lists_of], names)
 
 
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
