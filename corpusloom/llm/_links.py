@@ -23,6 +23,8 @@ ONE_TASK_EDGES = 1_500_000
 BROADCAST_IDS = 1_000_000
 #: Rows of a crowded run that ask, and rows they are held against, in one block.
 QUERIES, ROWS = 500, 2_000
+#: Candidate pairs up to which all are verified at once: so few cost less than the rounds that would save some.
+AT_ONCE = 200_000
 #: Rows at the edges of partitions that one task sorts.
 EDGE_ROWS = 1_000_000
 
@@ -222,7 +224,7 @@ def _verifier(reach: Callable[[pa.Array, pa.Array], list[bool]]) -> Callable:
 def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
     """Links (a, b) among candidate pairs whose ends are in different components, verified on ``bodies``.
 
-    Of the pairs left, each round verifies the most similar ones of each row, twice as many as the round
+    Of the pairs left, each round verifies the most similar ones of each row, four times as many as the round
     before, and drops those that links found so far join; so every pair is either verified or joined.
     """
     left, most = pairs, 1
@@ -233,20 +235,21 @@ def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
         if before is not None:
             discard(before)
         before = left
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             return found if found is not None else pairs.select("a", "b").limit(0)
-        now = left.where(F.col("rank") <= most)
+        now = left.where(F.col("rank") <= most) if n > AT_ONCE else left
         x = bodies.select(F.col("rid").alias("a"), F.col("body").alias("x"))
         y = bodies.select(F.col("rid").alias("b"), F.col("body").alias("y"))
         checked = written(now.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verifier(reach), "a long, b long, ok boolean"), "checked")
         new = checked.where("ok").select("a", "b")
         found = new if found is None else found.unionByName(new)
         rest = left.where(F.col("rank") > most).select("a", "b", "same")
-        if rest.isEmpty():
+        if n <= AT_ONCE or rest.isEmpty():
             return found
         comp = components(found)
         left = _apart(rest, comp)
-        most *= 2
+        most *= 4
 
 
 def contracted(dense: DataFrame, comp: DataFrame, prefix: int) -> DataFrame:

@@ -66,7 +66,8 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_crowded_group_beyond_the_window(spark):
+def test_crowded_group_beyond_the_window(spark, monkeypatch):
+    monkeypatch.setattr(_links, "AT_ONCE", 100)
     rnd = random.Random(12)
     rows = []
     for g in range(2):
