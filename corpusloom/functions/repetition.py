@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +60,59 @@ def token_signals(words: list[str], num_top: int, num_dup: int) -> list[float]:
     return out
 
 
+def batch_signals(words: pa.ListArray, num_top: int, num_dup: int) -> np.ndarray:
+    """The signals of many texts at once, one row each (zeros for null).
+
+    N-grams are numbered per text. Only those that stand twice in their text can grow into longer ones that do, so
+    each length looks only at the places that the one before left; of n-grams that stand once, the longest counts.
+    """
+    rows = len(words)
+    n_words = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((rows, num_dup))
+    coded = words.flatten().dictionary_encode()
+    token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(token):
+        return out
+    size = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[token]
+    kinds = len(coded.dictionary)
+    end = np.cumsum(n_words)
+    text = np.repeat(np.arange(rows), n_words)
+    upto = np.r_[0, np.cumsum(size)]
+    total = np.maximum(1, upto[end] - upto[end - n_words])
+    stop = end[text]
+    at, name = np.arange(len(token)), text
+    for n in range(1, num_dup + 1):
+        fits = at + n <= stop[at]
+        at, name = at[fits], name[fits]
+        key = name * kinds + token[at + n - 1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        first = np.flatnonzero(new)
+        many = np.diff(np.r_[first, len(key)])
+        name = np.empty(len(key), np.int64)
+        name[order] = np.cumsum(new) - 1
+        if n <= num_top:
+            begin = np.arange(len(token) - n + 1)
+            begin = begin[begin + n <= stop[begin]]
+            best = np.zeros(rows, np.int64)
+            np.maximum.at(best, text[begin], upto[begin + n] - upto[begin])
+            sums = np.bincount(name, upto[at + n] - upto[at], len(first)).astype(np.int64)
+            np.maximum.at(best, text[at[order[first]]], sums)
+            out[:, n - 1] = best / total
+        else:
+            again = at[order[~new]]
+            cover = np.zeros(len(token) + 1, np.int64)
+            cover[again] += 1
+            cover[again + n] -= 1
+            out[:, n - 1] = np.bincount(text, size * (np.cumsum(cover)[:-1] > 0), rows) / total
+        stays = many[name] > 1
+        at, name = at[stays], name[stays]
+        if not len(at) and n >= num_top:
+            break
+    return out
+
+
 def repetition_signals(expr: Column | str, *, tokenizer_pattern: str = WORD, num_top: int = 4, num_dup: int = 10) -> Column:
     """A struct of ``num_dup`` floats: top_1 .. top_{num_top}, then dup_{num_top + 1} .. dup_{num_dup}.
 
@@ -72,9 +126,8 @@ def repetition_signals(expr: Column | str, *, tokenizer_pattern: str = WORD, num
     names = field_names(num_top, num_dup)
 
     def signals(words: pa.Array) -> pa.Array:
-        rows = [None if w is None else token_signals(w, num_top, num_dup) for w in words.to_pylist()]
-        gone = np.array([r is None for r in rows], bool)
-        grid = np.array([[0.0] * num_dup if r is None else r for r in rows], np.float64).reshape(-1, num_dup).astype(np.float32)
+        gone = words.is_null().to_numpy(zero_copy_only=False)
+        grid = batch_signals(words, num_top, num_dup).astype(np.float32)
         return pa.StructArray.from_arrays([pa.array(grid[:, k], mask=gone) for k in range(num_dup)], names)
 
     schema = ", ".join(f"`{n}` float" for n in names)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,7 @@ from corpusloom.functions import _regex
 from corpusloom.functions.compression import deflated
 from corpusloom.functions.fasttext import EOS, HS, MAGIC, OVA, Model, _tree, fnv, folded
 from corpusloom.functions.minhash import SEED, P61, affine61, permutations, signature
-from corpusloom.functions.repetition import field_names, token_signals
+from corpusloom.functions.repetition import batch_signals, field_names, token_signals
 from corpusloom.functions.scrub import scrubbed
 from corpusloom.plans.queries import word_level, write_model
 
@@ -58,6 +59,12 @@ def test_repetition_matches_definitions(words, top, dup):
     assert token_signals(words, top, dup) == pytest.approx(plain_signals(words, top, dup))
 
 
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "bb", "é", "日本"]), max_size=14)), max_size=8), st.integers(0, 4), st.integers(4, 8))
+def test_batches_of_texts_have_the_signals_of_each(rows, top, dup):
+    want = [[0.0] * dup if w is None else token_signals(w, top, dup) for w in rows]
+    assert batch_signals(pa.array(rows, pa.list_(pa.string())), top, dup).tolist() == want
+
+
 def test_repetition_columns(spark):
     r = column(spark, fn.repetition_signals("text"))
     assert list(r[2].asDict()) == field_names(4, 10)
