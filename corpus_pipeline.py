@@ -37,13 +37,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _text_kept(cut.where((F.col("_lines.n_removed") == 0) | (F.trim("text") != "")), docs.columns)
 
 
-def _same_row(keys: DataFrame) -> DataFrame:
-    """Keys (doc, tkey) under names that no column of documents has."""
-    return keys.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
-
-
-def _is_row() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
+def _rows_of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (``left_semi``) or without (``left_anti``) a row in ``keys`` (doc, tkey), whatever their columns are called."""
+    keys = keys.select("doc", "tkey").distinct().alias("wanted")
+    same: Column = F.col("own.doc_id").eqNullSafe(F.col("wanted.doc")) & (F.xxhash64("own.text") == F.col("wanted.tkey"))
+    return docs.alias("own").join(keys, same, how)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,21 +52,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = written(forest.near_duplicates(docs).where("n_shingles > 0"), "groups")
     stays = F.col("doc").eqNullSafe(F.col("component"))
     gone = found.where(~stays)
-    rest = docs.join(_same_row(gone), _is_row(), "left_anti")
+    rest = _rows_of(docs, gone, "left_anti")
     again = written(found.where(stays).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tkey", "doc")).alias("one")).where("n > 1"), "again")
     if again.isEmpty():
         return rest
-    held = _same_row(found.where(stays).join(again.select("group"), "group"))
-    one = _same_row(again.select("one.*"))
-    chosen = docs.join(one, _is_row(), "left_semi").withColumn("_tkey", F.xxhash64("text")).dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")
-    return rest.join(held, _is_row(), "left_anti").unionByName(chosen)
+    held = found.where(stays).join(again.select("group"), "group")
+    chosen = _rows_of(docs, again.select("one.*"), "left_semi").select(F.xxhash64("text").alias("key"), F.struct("*").alias("row"))
+    chosen = chosen.groupBy("row.doc_id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return _rows_of(rest, held, "left_anti").unionByName(chosen)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item aligns; items too short to align tell nothing and remove none."""
     leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where(F.col("item_words") >= decontaminate.LEAST_WORDS)
     leaks = written(leaks.select("doc", "tkey"), "leaks")
-    return docs.join(_same_row(leaks), _is_row(), "left_anti")
+    return _rows_of(docs, leaks, "left_anti")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
