@@ -30,7 +30,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         labels.append((i, 1, int(bad)))
     docs += [(1000, None, "en", "s", 0, "x"), (1001, "", "en", "s", 0, "x"), (1002, docs[4][1], None, None, None, "x"), (None, "lonely text without an id", "en", "s", 0, "x"), (None, "lonely text without an id", "en", "s", 0, "y"), (7, docs[7][1], "en", "s", 0, "x")]
     d = str(tmp_path)
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, rid string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, rid string").selectExpr("*", "7 AS _doc", "7 AS _tkey", "7 AS doc", "7 AS tkey", "7 AS row", "7 AS key", "7 AS item_words").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     now, seen = spark.read.parquet(f"{d}/documents.parquet"), []
