@@ -9,7 +9,7 @@ aside, and suffix arrays of the rest (``suffixes``, linear grouping) show which
 more than ``CROWD`` different runs are settled by counting their windows' 128-bit hashes across the
 cluster, so no group is ever held by one task.
 
-Results depend on a text alone, so texts are known by a 64-bit hash and copies share their spans.
+Results depend on a text alone, so texts are known by their MD5 (128 bits) and copies share their spans.
 Defined results: null and empty texts have no bytes, no spans, and the digest of nothing; texts below
 ``LENGTH`` bytes are never changed; matches never cross texts; repeated rows are repeats of each other; null
 ids are kept; long texts are used whole; an empty table gives no rows.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -95,7 +95,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, first - offsets[doc], size, a - first, h[a], content
 
 
-RUN = "tkey long, first int, windows int, off int, anchor long, content long"
+RUN = "tkey binary, first int, windows int, off int, anchor long, content long"
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +181,8 @@ def _sorted_repeats(strings: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
-STRING = "anchor long, tkey long, first int, off int, s binary"
-FOUND = "tkey long, a int, b int"
+STRING = "anchor long, tkey binary, first int, off int, s binary"
+FOUND = "tkey binary, a int, b int"
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = repeated_windows(group, [r[4] for r in rows], np.array([r[3] for r in rows]))
         flat = [(r[1], r[2] + a, r[2] + b - 1 + LENGTH) for r, spans in zip(rows, got) for a, b in spans]
         cols = list(zip(*flat)) if flat else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["tkey", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["tkey", "a", "b"])
 
     for batch in batches:
         held += list(zip(*(c.to_pylist() for c in batch.columns)))
@@ -217,7 +217,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = raw.encode()
             rows += [(w["anchor"], tkey, w["first"], w["off"], data[w["first"] : w["first"] + w["windows"] - 1 + LENGTH]) for w in wanted]
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "tkey", "first", "off", "s"])
 
 
@@ -229,17 +229,21 @@ def _crowded(rows: DataFrame) -> DataFrame:
             for tkey, first, s in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(s) - LENGTH + 1
                 digests = [hashlib.blake2b(s[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([tkey] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()), pa.array(digests, pa.binary())], ["tkey", "a", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([tkey] * n, pa.binary()), pa.array(range(first, first + n), pa.int32()), pa.array(digests, pa.binary())], ["tkey", "a", "w"])
 
-    each = written(rows.select("tkey", "first", "s").mapInArrow(windows, "tkey long, a int, w binary"), "windows")
+    each = written(rows.select("tkey", "first", "s").mapInArrow(windows, "tkey binary, a int, w binary"), "windows")
     twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return spread_join(each, twice, ["w"], "n", ["tkey", "a"], each.count()).select("tkey", "a", (F.col("a") + LENGTH).alias("b"))
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(tkey, spans): per text (known by its hash) the sorted byte spans to remove."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"), F.coalesce(text, F.lit("")).alias("_text")).where(F.octet_length("_text") >= LENGTH)
+    texts = docs.select(_key(F.coalesce(text, F.lit(""))).alias("tkey"), F.coalesce(text, F.lit("")).alias("_text")).where(F.octet_length("_text") >= LENGTH)
     every = written(texts.mapInArrow(_runs_of, RUN), "runs")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
     anchors = anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed"), "n")
@@ -277,7 +281,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", content: bool = True) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256 and, with ``content``, the bytes kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("tkey", F.xxhash64("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("tkey", _key(F.col("_text")))
     again = rows.groupBy("tkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spans = repeated_spans(docs, text).join(again, "tkey", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     joined = spread_join(rows, spans, ["tkey"], "n", ["doc"], docs.count(), "left").select("doc", "_text", "spans")
