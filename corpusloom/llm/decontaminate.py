@@ -63,9 +63,14 @@ def folded(column: pa.Array) -> pa.Array:
     """The texts case-folded, with characters that are words of their own set apart; bytes that are no UTF-8 stay."""
     out = []
     for x in column.cast(pa.binary()).to_pylist():
-        if x is not None:
+        if x is not None and x.isascii():
+            x = x.lower()
+        elif x is not None:
             t = x.decode(errors="surrogateescape").casefold()
-            x = (t if t.isascii() else _UNSPACED.sub(r" \g<0> ", t)).encode(errors="surrogateescape")
+            #: All of those characters have a byte of 0xE0 or more.
+            if (np.frombuffer(x, np.uint8) >= 0xE0).any():
+                t = _UNSPACED.sub(r" \g<0> ", t)
+            x = t.encode(errors="surrogateescape")
         out.append(x)
     return pa.array(out, pa.binary())
 
