@@ -221,6 +221,11 @@ def _verifier(reach: Callable[[pa.Array, pa.Array], list[bool]]) -> Callable:
     return run
 
 
+def _needed(bodies: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """``bodies`` without those that no id asks for, so far as ``few`` ids can be told to all tasks: only the rest is then shuffled."""
+    return bodies.join(F.broadcast(ids.distinct()), "rid", "left_semi") if few else bodies
+
+
 def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
     """Links (a, b) among candidate pairs whose ends are in different components, verified on ``bodies``.
 
@@ -239,8 +244,8 @@ def linked(pairs: DataFrame, bodies: DataFrame, reach: Callable) -> DataFrame:
         if not n:
             return found if found is not None else pairs.select("a", "b").limit(0)
         now = left.where(F.col("rank") <= most) if n > AT_ONCE else left
-        x = bodies.select(F.col("rid").alias("a"), F.col("body").alias("x"))
-        y = bodies.select(F.col("rid").alias("b"), F.col("body").alias("y"))
+        few = (now.count() if n > AT_ONCE else n) <= BROADCAST_IDS
+        x, y = (_needed(bodies, now.select(F.col(c).alias("rid")), few).select(F.col("rid").alias(c), F.col("body").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         checked = written(now.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verifier(reach), "a long, b long, ok boolean"), "checked")
         new = checked.where("ok").select("a", "b")
         found = new if found is None else found.unionByName(new)
@@ -265,7 +270,7 @@ def settled(met: tuple[DataFrame, DataFrame], bodies: Callable[[DataFrame], Data
     ``bodies`` gives the (rid, body) of wanted identities. Crowded runs are contracted by component and sorted
     again as long as a pass finds links; rows outside the largest component of a crowded run are at last held
     against all of the run. Orders without sketches say in ``late`` how those rows get theirs: ``sketch`` (a
-    function of flat sets and offsets), ``sketch_bytes`` and ``least_same``.
+    function of flat sets and offsets), ``sketch_bytes`` and ``least_same``. The table of bodies is deleted at the end.
     """
     pairs, dense = met
     crowded = dense
@@ -288,6 +293,7 @@ def settled(met: tuple[DataFrame, DataFrame], bodies: Callable[[DataFrame], Data
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             comp = components(links)
+    discard(own)
     return links, comp
 
 

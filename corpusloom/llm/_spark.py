@@ -72,18 +72,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, spread: list[str], total: int, how: str = "inner", once: bool = False) -> DataFrame:
     """``rows`` joined to ``side``, which has each key once, with how many of the ``total`` rows have it.
 
     Hot keys of ``side``, fewer than ``HOT`` by definition, are broadcast, and their rows are then shuffled
     by a hash of the ``spread`` columns, away from the other keys, so that no task gets more of one key than
     the share that makes it hot. Gives the columns of ``rows`` and those of ``side`` but its keys.
+    ``once`` drops rows that repeat, where the join has put them: equal ones are in one task, so no further shuffle.
     """
     rest = [c for c in side.columns if c not in keys]
     body = F.struct(*rest)
     hot = F.col(copies) * HOT > total
     heavy = side.where(hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], body.alias("_heavy"))
-    light = side.where(~hot).select(*[F.col(k).alias(f"_l_{k}") for k in keys], body.alias("_light"), F.lit(0).cast("long").alias("_l_away"))
+    #: The optimizer carries a constant into the join's condition, after which rows are shuffled by ``keys`` alone; not so a remainder.
+    none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")) if once else F.lit(0).cast("long")
+    light = side.where(~hot).select(*[F.col(k).alias(f"_l_{k}") for k in keys], body.alias("_light"), none.alias("_l_away"))
     match = lambda p: [F.col(k) == F.col(f"_{p}_{k}") for k in keys]
     out = rows.join(F.broadcast(heavy), match("h"), "left")
     out = out.withColumn("_away", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*spread), F.lit(2**30)) + 1))
@@ -91,4 +94,5 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], copies: str,
     found = F.coalesce("_heavy", "_light")
     if how == "inner":
         out = out.where(found.isNotNull())
-    return out.select(*rows.columns, *[found.getField(c).alias(c) for c in rest])
+    columns = [*rows.columns, *[found.getField(c).alias(c) for c in rest]]
+    return out.select("_away", *columns).distinct().drop("_away") if once else out.select(*columns)

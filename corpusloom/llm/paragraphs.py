@@ -278,11 +278,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     shape = {"prefix": 6, "s_bytes": 8, "sketch_bytes": 0, "least_same": 0, "window": WINDOW, "ratio": PERCENT / 100}
     _, comp = settled(found, lambda wanted: _bodies(docs, sets.drop("bands"), wanted, id_col, text), reaches, shape, LATE)
     per = units.groupBy("rid").agg(F.min(F.struct("doc", "word", "tkey", "n")).alias("first"), F.count(F.lit(1)).alias("own"))
-    alike = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("own > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "rid"))
+    alike = per.join(comp.withColumnRenamed("id", "rid"), "rid", "left").where("own > 1 OR comp IS NOT NULL")
     alike = written(alike, "classed")
-    classes = alike.groupBy("comp").agg(F.min("first").alias("first"))
-    classed = alike.select("rid", "comp", "own").join(classes, "comp")
-    rows = spread_join(units, classed, ["rid"], "own", ["doc", "tkey", "word"], units.count()).drop("own", "rid").distinct()
+    #: A set without links is a class of its own, so only linked ones look for the first of their class.
+    joined = alike.where("comp IS NOT NULL")
+    joined = joined.select("rid", "comp", "own").join(joined.groupBy("comp").agg(F.min("first").alias("first")), "comp")
+    classed = joined.unionByName(alike.where("comp IS NULL").withColumn("comp", F.col("rid")))
+    rows = spread_join(units, classed, ["rid"], "own", ["doc", "tkey", "word"], units.count(), once=True).drop("own", "rid")
     apart = (F.col("word") >= F.col("first.word") + F.col("first.n")) | (F.col("first.word") >= F.col("word") + F.col("n"))
     rows = written(rows.withColumn("gone", (F.col("doc") != F.col("first.doc")) | (F.col("tkey") != F.col("first.tkey")) | apart), "repeats")
     sizes = rows.groupBy("comp").agg((F.sum(F.col("gone").cast("long")) + 1).alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 1")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ import numpy as np
 from corpusloom.llm import _links
 from corpusloom.llm import paragraphs as P
 from corpusloom.llm._links import settled
+from corpusloom.llm._spark import shared_dir
 from tests.llm.test_forest import prose
 
 ORDER = {}
@@ -135,6 +137,38 @@ def test_removals_leave_first_copies_and_all_else(spark):
     assert set(b.split()) <= set(got[2].split()) and len(got[2].split()) <= 30 + len(gone)
 
 
+def near(rnd, n):
+    """Texts of one line each: ``n`` pairs of near copies."""
+    out = []
+    for _ in range(n):
+        w = prose(rnd, 60)
+        out += [(len(out), " ".join(w)), (len(out) + 1, " ".join([*w[:-1], "other"]))]
+    return out
+
+
+def test_sets_are_deleted_once_links_are_known(spark):
+    rows = near(random.Random(25), 6)
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert run(spark, rows) == brute(rows)
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "repeats" in left and not left & {"bodies", "paragraphs"}
+
+
+def test_only_sets_of_pairs_at_hand_are_moved(spark, monkeypatch):
+    """Some sets have no pair: few identities are told to all tasks, many are not, and the links are the same."""
+    seen = []
+    kept = _links._needed
+    monkeypatch.setattr(_links, "_needed", lambda *a: seen.append(kept(*a)) or seen[-1])
+    bodies = spark.createDataFrame([(i, np.arange(i // 2, i // 2 + 40, dtype=np.uint64).tobytes()) for i in range(40)], "rid long, body binary")
+    pairs = spark.createDataFrame([(0, 1, 3), (2, 3, 3), (0, 30, 1)], "a long, b long, same int")
+    for ids, moved in ((_links.BROADCAST_IDS, [{0, 2}, {1, 3, 30}]), (2, [set(range(40))] * 2)):
+        seen.clear()
+        monkeypatch.setattr(_links, "BROADCAST_IDS", ids)
+        assert {tuple(r) for r in _links.linked(pairs, bodies, P.reaches).collect()} == {(0, 1), (2, 3)}
+        assert [{r.rid for r in x.select(x.columns[0]).collect()} for x in seen] == moved
+
+
 def test_linked_pairs_far_apart_in_a_crowded_key(spark, monkeypatch):
     """80 linked pairs among sets of one key that else stay below the threshold."""
     rnd = random.Random(22)

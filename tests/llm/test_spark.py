@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _spark
@@ -15,6 +17,18 @@ def test_spread_join_with_hot_and_rare_keys(spark, monkeypatch):
     assert {tuple(r) for r in inner.collect()} == {w for w in want if w[2] is not None}
 
 
+def test_spread_join_drops_repeated_rows_without_a_further_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "HOT", 5)
+    rows = spark.createDataFrame([(k, i % 7) for i, k in enumerate([1] * 60 + [2] * 30 + [*range(10, 40)] * 2)], "k long, i long")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.struct(F.max("i").alias("top")).alias("x"))
+    joined = lambda once: _spark.spread_join(rows, side, ["k"], "n", ["i"], 150, once=once)
+    got = joined(True)
+    assert got.columns == ["k", "i", "n", "x"] and sorted(map(tuple, got.collect())) == sorted({tuple(r) for r in joined(False).collect()})
+    above, below = joined(True)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")
+    assert "HashAggregate" in above and "Exchange" not in above
+    assert len(re.findall(r"Exchange hashpartitioning\(\w+#\d+L, _(?:l_)?away#", below)) == 2
+
+
 def test_written_tables_and_their_folder(spark):
     t = _spark.written(spark.range(10), "numbers")
     assert t.count() == 10 and t._corpusloom_path.startswith(_spark.shared_dir(spark)) and _spark.shared_dir(spark).startswith("file:///")
