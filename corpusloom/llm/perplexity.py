@@ -59,8 +59,8 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     starts = starts[starts < len(data)]
-    cut = np.unique(np.concatenate([breaks, offsets[1:]]))
-    ends = cut[np.searchsorted(cut, starts)]
+    #: A text's end is the next one's start: a line ends at a break of its own or at an end beyond its start.
+    ends = np.minimum(np.r_[breaks, len(data)][np.searchsorted(breaks, starts)], offsets[np.searchsorted(offsets, starts, "right")])
     wordy = np.searchsorted(s, ends) > np.searchsorted(s, starts)
     starts, ends = starts[wordy], ends[wordy]
     doc = np.searchsorted(offsets, starts, "right") - 1

@@ -33,6 +33,14 @@ def test_base_counts_against_plain_python():
     assert got == [base(t) for t in texts]
 
 
+def test_first_lines_of_later_texts_count():
+    rnd = random.Random(4)
+    texts = ["x y", "a\na", "", "c d\ne\nc d\n", "\n", "b\n\nb", None, "a\n", "a"] + ["".join(rnd.choice("ab\n \n") for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    data, offsets = T.flat(pa.array(texts, pa.string()))
+    got = list(zip(*(x.tolist() for x in P.base_counts(data, offsets))))
+    assert got == [base(t) for t in texts]
+
+
 def kneser_ney(texts):
     """A model of one language by definition: p(byte, context of ORDER - 1 bytes)."""
     top, texts_of = Counter(), defaultdict(set)
