@@ -17,10 +17,14 @@ def _check(level: int) -> None:
         raise ValueError(f"compression level must be from 0 to 9, not {level}")
 
 
+#: Bytes handed to the compressor at once: the stored blocks of level 0, which else follow its caller's buffers.
+BLOCK = 32768
+
+
 def deflated(raw: bytes, level: int) -> int:
     """Bytes of the raw deflate stream, less the two that an empty one has."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
-    return len(z.compress(raw)) + len(z.flush()) - 2
+    return sum(len(z.compress(raw[k : k + BLOCK])) for k in range(0, len(raw), BLOCK)) + len(z.flush()) - 2
 
 
 def compressed_size(expr: Column | str, *, level: int = 6) -> Column:

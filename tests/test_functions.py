@@ -126,6 +126,15 @@ def test_compression(spark):
             fn.compressed_size("text", level=level)
 
 
+def test_stored_blocks_and_streams_of_long_texts():
+    raw = bytes(random.Random(6).choice(b"abc de") for _ in range(300_000))
+    for n in (0, 1, 32767, 32768, 65535, 65536, 65541, 98304, 133719, 163840, 300_000):
+        assert deflated(raw[:n], 0) == n + 5 * (n // 32768 + 1) - 2, n
+    for level in (1, 6, 9):
+        z = zlib.compressobj(level, zlib.DEFLATED, -15)
+        assert deflated(raw, level) == len(z.compress(raw) + z.flush()) - 2
+
+
 def test_random_columns(spark):
     df = spark.range(40_000).select(F.lit(None).cast("string").alias("t")).select(fn.samplebyte("t").alias("b"), fn.uuid4("t").alias("u"))
     assert df.dtypes == [("b", "smallint"), ("u", "string")]
