@@ -61,10 +61,16 @@ def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deflated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default level: no longer than stored, not beyond deflate's best, and the ratio is bytes by size."""
-    n, size = F.octet_length("text"), F.col("size")
-    sized = documents(spark, sf_dir).select("doc_id", "text", fn.compressed_size("text").alias("size"), fn.compression_ratio("text").alias("ratio"))
-    return sized.select("doc_id", (size <= n + 8).alias("not_above"), (size * 1032 >= n - 1032).alias("not_below"), (F.abs(F.col("ratio") - n / size) <= 1e-5 * n / size).alias("ratio_fits"))
+    """Default level: no longer than stored, not beyond deflate's best, and the ratio is bytes by size.
+
+    Of an empty text the size is 0 and the ratio no number; a null one must have neither.
+    """
+    n, size, ratio = F.col("n"), F.col("size"), F.col("ratio")
+    sized = documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n"), fn.compressed_size("text").alias("size"), fn.compression_ratio("text").alias("ratio"))
+    whole = n / F.nullif(size, F.lit(0).cast("long"))
+    fits = F.when(n == 0, (size == 0) & F.isnan(ratio)).otherwise(F.abs(ratio - whole) <= 1e-5 * whole)
+    bounds = {"not_above": size <= n + 8, "not_below": size * 1032 >= n - 1032, "ratio_fits": fits}
+    return sized.select("doc_id", *[F.when(n.isNull(), size.isNull() & ratio.isNull()).otherwise(F.coalesce(holds, F.lit(False))).alias(name) for name, holds in bounds.items()])
 
 
 def namespace_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
