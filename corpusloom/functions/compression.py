@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._parts import in_parts
 from ._regex import columns
 
 
@@ -34,7 +35,7 @@ def compressed_size(expr: Column | str, *, level: int = 6) -> Column:
     def sizes(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else deflated(t, level) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
 
-    return F.arrow_udf(sizes, "bigint")(columns(expr))
+    return F.arrow_udf(in_parts(sizes), "bigint")(columns(expr))
 
 
 def compression_ratio(expr: Column | str, *, level: int = 6) -> Column:
@@ -48,4 +49,4 @@ def compression_ratio(expr: Column | str, *, level: int = 6) -> Column:
             out.append(None if t is None else float("nan") if n == 0 else float(np.float32(len(t)) / np.float32(n)))
         return pa.array(out, pa.float32())
 
-    return F.arrow_udf(ratios, "float")(columns(expr))
+    return F.arrow_udf(in_parts(ratios), "float")(columns(expr))

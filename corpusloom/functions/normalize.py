@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._parts import in_parts
 from ._regex import columns, translate
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
@@ -27,7 +28,7 @@ def normalize(expr: Column | str, *, form: str | None = None, lowercase: bool =
         def shaped(column: pa.Array) -> pa.Array:
             return pa.array([None if t is None else unicodedata.normalize(form, t) for t in column.to_pylist()], pa.string())
 
-        text = F.arrow_udf(shaped, "string")(text)
+        text = F.arrow_udf(in_parts(shaped), "string")(text)
     if lowercase:
         text = F.lower(text)
     if only_script:

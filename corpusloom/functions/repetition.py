@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._parts import in_parts
 from .tokens import WORD, tokens
 
 
@@ -131,4 +132,4 @@ def repetition_signals(expr: Column | str, *, tokenizer_pattern: str = WORD, num
         return pa.StructArray.from_arrays([pa.array(grid[:, k], mask=gone) for k in range(num_dup)], names)
 
     schema = ", ".join(f"`{n}` float" for n in names)
-    return F.arrow_udf(signals, f"struct<{schema.replace('` ', '`:')}>")(tokens(expr, pattern=tokenizer_pattern))
+    return F.arrow_udf(in_parts(signals), f"struct<{schema.replace('` ', '`:')}>")(tokens(expr, pattern=tokenizer_pattern))

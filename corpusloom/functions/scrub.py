@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._parts import in_parts
 from ._regex import columns, compiled, translate
 
 REPLACEMENT = "REDACTED"
@@ -42,7 +43,7 @@ def scrub(expr: Column | str, *, patterns: Sequence[str], replacement: str = REP
     def clean(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else scrubbed(t, wanted, replacement) for t in text.to_pylist()], pa.string())
 
-    return F.arrow_udf(clean, "string")(columns(expr))
+    return F.arrow_udf(in_parts(clean), "string")(columns(expr))
 
 
 def scrub_native(expr: Column | str, *, patterns: Sequence[str], replacement: str = REPLACEMENT) -> Column:

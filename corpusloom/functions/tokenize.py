@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._files import resolve
+from ._parts import in_parts
 from ._regex import columns
 
 
@@ -54,4 +55,4 @@ def tokenize(expr: Column | str, *, tokenizer) -> Column:
     def encode(text: pa.Array) -> pa.Array:
         return ids_of(from_path(path) if written is None else _from_json(written), text.to_pylist())
 
-    return F.arrow_udf(encode, "array<bigint>")(columns(expr))
+    return F.arrow_udf(in_parts(encode), "array<bigint>")(columns(expr))

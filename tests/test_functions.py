@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from corpusloom import functions as fn
 from corpusloom import namespace, operators, sources
 from corpusloom.functions import _regex
+from corpusloom.functions._parts import in_parts, runs
 from corpusloom.functions.compression import deflated
 from corpusloom.functions.fasttext import EOS, HS, MAGIC, OVA, Model, _tree, fnv, folded
-from corpusloom.functions.minhash import SEED, P61, affine61, permutations, signature
+from corpusloom.functions.minhash import SEED, P61, affine61, minima, permutations, signature
 from corpusloom.functions.repetition import batch_signals, field_names, token_signals
 from corpusloom.functions.scrub import scrubbed
 from corpusloom.plans.queries import word_level, write_model
@@ -105,6 +106,19 @@ def test_affine_is_exact():
     assert got.tolist() == [(a * x + b) % top for a, b, x in zip(xs, ys, zs)]
 
 
+def test_minima_are_exact_next_to_the_modulus():
+    rnd, top = random.Random(8), int(P61)
+    odd = [0, 1, 2, top - 1, top - 2, 2**31 - 1, 2**31, 2**60]
+    pick = lambda: rnd.choice(odd) if rnd.random() < 0.4 else rnd.randrange(top)
+    for n in [0, 1, 1, 2, 3, 256, 257, 1025] * 40:
+        a, b, x = [max(1, pick()) for _ in range(4)], [pick() for _ in range(4)], [pick() for _ in range(n)]
+        if n and rnd.random() < 0.5:
+            # Remainders just below the modulus, and at 0.
+            x = [(rnd.choice([top - 1, top - 2, 0]) - b[k % 4]) * pow(a[k % 4], -1, top) % top for k in range(n)]
+        got = minima(*(np.array(v, np.uint64) for v in (a, b, x)))
+        assert got.tolist() == [min(((p * v + q) % top for v in x), default=2**64 - 1) for p, q in zip(a, b)]
+
+
 def test_minhash_estimates_jaccard():
     rnd = random.Random(2)
     a, b, seed = permutations(SEED, 512)
@@ -283,6 +297,22 @@ def test_fasttext_format_variants(tmp_path):
     assert [len(p) for p in _tree([9, 4, 3, 2])] == [1, 2, 3, 3]
 
 
+def test_batches_reach_functions_in_parts():
+    most = []
+
+    def sizes(text: pa.Array, other: pa.Array) -> pa.Array:
+        most.append(sum(len(x or "") for x in text.to_pylist()))
+        return pa.array([None if x is None else len(x) + y for x, y in zip(text.to_pylist(), other.to_pylist())], pa.int64())
+
+    rows = ["x" * 1000] * 5000 + [None, "", "y" * 3_000_000, "z"]
+    got = in_parts(sizes)(pa.array(rows), pa.array(range(len(rows)))).to_pylist()
+    assert got == [None if x is None else len(x) + i for i, x in enumerate(rows)]
+    assert max(n for n in most if n != 3_000_000) <= 1_000_001 and len(most) > 5
+    lists = pa.array([["a"] * 50_000, None, [], ["b"] * 100_000, ["c"]] * 3)
+    assert [i for i, _ in runs(lists)][0] == 0 and [j for _, j in runs(lists)][-1] == 15 and len(list(runs(lists))) > 5
+    assert in_parts(sizes)(pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
+
+
 def test_namespace_and_sql(spark):
     namespace.register_namespace()
     df = texts(spark, [None, "A b A b A b"])
