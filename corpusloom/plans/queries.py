@@ -7,7 +7,7 @@ import struct
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -49,10 +49,11 @@ def minhash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds of every signature whatever its permutations: its form, the constant of short texts, and that texts of equal shingle sets share it."""
-    signed = documents(spark, sf_dir).select("doc_id", fn.minhash("text").alias("m"), fn.minhash("text", bsize=1).alias("raw"), (F.size(fn.tokens("text")) < 5).alias("short"))
-    first = signed.groupBy("m").agg(F.min("doc_id").alias("first_alike"))
-    digits = lambda c, n: F.col(c).rlike(f"^[0-9a-f]{{{n}}}$")
-    return signed.join(first, "m").select("doc_id", (digits("m", 448) & digits("raw", 224)).alias("is_hex"), (F.col("raw") == "f" * 224).alias("is_constant"), "first_alike")
+    signed = documents(spark, sf_dir).select("doc_id", fn.minhash("text").alias("m"), fn.minhash("text", bsize=1).alias("raw"))
+    digits = lambda c, n: F.coalesce(F.col(c).rlike(f"^[0-9a-f]{{{n}}}$"), F.col(c).isNull())
+    formed = signed.select("doc_id", "m", (digits("m", 448) & digits("raw", 224)).alias("is_hex"), (F.col("raw") == "f" * 224).alias("is_constant"))
+    #: A window, as a join of the table with its groups would sign every text once more for each side.
+    return formed.select("doc_id", "is_hex", "is_constant", F.min("doc_id").over(Window.partitionBy("m")).alias("first_alike"))
 
 
 def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

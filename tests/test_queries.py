@@ -28,14 +28,18 @@ def test_query_against_sql(spark, name):
     assert sorted((tuple(r[c] for c in cols) for r in rows), key=str) == want
 
 
-@pytest.mark.parametrize("name", ["deflated_bounds"])
+@pytest.mark.parametrize("name", ["deflated_bounds", "minhash_shape"])
 def test_odd_texts_against_sql(spark, tmp_path, name):
     rows = list(enumerate(["", None, "a", "", None, "one two three four five six", "word " * 20000, "six five four three two one", "x" * 70000, "..."]))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     rel = con.sql(ORACLES[name])
-    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect())) == sorted(rel.fetchall())
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()), key=str) == sorted(rel.fetchall(), key=str)
+
+
+def test_shapes_sign_each_text_once(spark):
+    assert QUERIES["minhash_shape"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_entry(spark):
