@@ -12,6 +12,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
+from .functions._parts import in_parts
 from .functions._regex import compiled
 
 METHODS = ("normalize", "compressed_size", "compression_ratio", "samplebyte", "uuid4", "minhash", "repetition_signals", "scrub", "fasttext", "tokenize", "tokens")
@@ -95,14 +96,14 @@ def register_sql(spark: SparkSession, prefix: str = "") -> list[str]:
     kind = pa.struct([(n, pa.float32()) for n in names])
     top = pa.struct([("top_label", pa.string()), ("top_score", pa.float32()), ("total_score", pa.float32())])
     made = {
-        "repetition_signals": F.arrow_udf(repetition_udf, "struct<" + ",".join(f"{n}:float" for n in names) + ">"),
-        "minhash": F.arrow_udf(minhash_udf, "string"),
-        "compressed_size": F.arrow_udf(size_udf, "bigint"),
-        "compression_ratio": F.arrow_udf(ratio_udf, "float"),
-        "fasttext": F.arrow_udf(fasttext_udf, "struct<top_label:string,top_score:float,total_score:float>"),
-        "tokenize": F.arrow_udf(tokenize_udf, "array<bigint>"),
-        "normalize": F.arrow_udf(normalize_udf, "string"),
-        "scrub": F.arrow_udf(scrub_udf, "string"),
+        "repetition_signals": F.arrow_udf(in_parts(repetition_udf), "struct<" + ",".join(f"{n}:float" for n in names) + ">"),
+        "minhash": F.arrow_udf(in_parts(minhash_udf), "string"),
+        "compressed_size": F.arrow_udf(in_parts(size_udf), "bigint"),
+        "compression_ratio": F.arrow_udf(in_parts(ratio_udf), "float"),
+        "fasttext": F.arrow_udf(in_parts(fasttext_udf), "struct<top_label:string,top_score:float,total_score:float>"),
+        "tokenize": F.arrow_udf(in_parts(tokenize_udf), "array<bigint>"),
+        "normalize": F.arrow_udf(in_parts(normalize_udf), "string"),
+        "scrub": F.arrow_udf(in_parts(scrub_udf), "string"),
     }
     for n, f in made.items():
         spark.udf.register(prefix + n, f)
